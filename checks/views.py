@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kairoscope.sources.tables import read_table
+
 DIM = 64
 STAMPS = {
     "dim": "64", "model": "given-vectors", "model_revision": "r1",
@@ -13,7 +15,7 @@ STAMPS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def seconds(ts: Column) -> Column:
@@ -28,14 +30,17 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def video_id() -> Column:
+    image = F.concat(F.lit("img_"), F.col("vec_id").cast("string"))
+    return F.when(F.col("label") == 9, image).otherwise(F.concat(F.lit("clip_"), F.col("label").cast("string")))
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """Clips 0-8 are videos with a frame about every two seconds; label 9 are single images."""
     image = F.col("label") == 9
     return table(spark, d, "embeddings").select(
         F.col("vec_id").cast("string").alias("frame_id"),
-        F.when(image, F.concat(F.lit("img_"), F.col("vec_id").cast("string")))
-        .otherwise(F.concat(F.lit("clip_"), F.col("label").cast("string")))
-        .alias("video_id"),
+        video_id().alias("video_id"),
         F.when(image, "image").otherwise("video").alias("media_type"),
         F.when(image, F.lit(0.0)).otherwise(F.col("vec_id").cast("double") / 5).alias("timestamp"),
         "embedding",
@@ -101,6 +106,10 @@ def history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def job_log(spark: SparkSession, d: str) -> DataFrame:
+    return as_job_log(table(spark, d, "events"))
+
+
+def as_job_log(events: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("event_type") == "signup", "queued")
         .when(F.col("event_type") == "view", "running")
@@ -108,7 +117,7 @@ def job_log(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("event_type") == "error", "failed")
         .otherwise("cancelling")
     )
-    return table(spark, d, "events").select(
+    return events.select(
         F.col("user_id").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), "value"
     )
 
