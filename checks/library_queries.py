@@ -336,7 +336,7 @@ def f2(spark, d):
 @query(
     "f6_title_case",
     """select o_orderkey, case o_orderpriority when '1-URGENT' then '1-Urgent' when '2-HIGH' then '2-High' when '3-MEDIUM' then '3-Medium'
-      when '4-NOT SPECIFIED' then '4-Not Specified' else '5-Low' end from orders""",
+      when '4-NOT SPECIFIED' then '4-Not Specified' else '5-Low' end stage from orders""",
 )
 def f6(spark, d):
     raw = F.replace(F.lower("o_orderpriority"), F.lit(" "), F.lit("_"))

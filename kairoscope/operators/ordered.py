@@ -86,8 +86,7 @@ class OrderedGroups:
             return self._next(self.df.withColumn(name, local))
         before = lambda cw: F.sum("_total").over(cw.rowsBetween(Window.unboundedPreceding, -1))
         df = self._with_carry(self._edges(F.sum(column).alias("_total")), {"_base": before})
-        zero = F.lit(0).cast(self.df.select(F.sum(column)).schema[0].dataType)
-        df = df.withColumn(name, local + F.coalesce(F.col("_base"), zero))
+        df = df.withColumn(name, F.coalesce(local + F.col("_base"), local, F.col("_base")))
         return self._next(df.drop("_base"))
 
     def max_before(self, name: str, column: str) -> "OrderedGroups":

@@ -79,7 +79,8 @@ def export_contexts(results: DataFrame, fmt: str, path: str) -> None:
             first = True
             for batch in batches:
                 if first and batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([header], pa.string())], names=["line"])
+                    top = pa.array([header], batch.schema.field(0).type)
+                    yield pa.RecordBatch.from_arrays([top], schema=batch.schema)
                     first = False
                 yield batch
 
