@@ -24,7 +24,7 @@ DISTINCT = """firsts as (select upload_id, idx, size from chunks qualify row_num
 
 @query(
     "a9_chunk_conflicts",
-    f"""with {CHUNKS} select upload_id, idx, count(*) writes, count(distinct content) contents,
+    f"""with {CHUNKS} select upload_id, idx, count(*) writes,
       case when count(distinct content) > 1 then 'conflict' when count(*) > 1 then 'replayed' else 'single' end outcome from chunks group by upload_id, idx""",
 )
 def a9(spark, d):

@@ -127,7 +127,7 @@ def v5b(spark, d):
     from (select *, list_sum(list_transform(embedding, lambda x: x * x)) n from e)""",
 )
 def v6(spark, d):
-    docs = embed_text(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", V.DIM)
+    docs = embed_text(table(spark, d, "documents").select("doc_id", "text"), "text", V.DIM)
     units = F.transform("embedding", lambda x: F.round(x * 1000000).cast("long").cast("string"))
     return docs.select("doc_id", F.array_join(units, ",").alias("vector"))
 

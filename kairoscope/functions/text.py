@@ -63,12 +63,16 @@ def js_number(x: Column) -> Column:
 
 def format_bytes(n: Column) -> Column:
     d = n.cast("double")
-    text = F.when(~_finite(n) | (d <= 0), "0 B")
-    text = text.when(d < 1024.0, F.concat(js_round(d).cast("string"), F.lit(" B")))
-    for power, unit in enumerate(BYTE_UNITS[1:], start=1):
-        scaled = F.concat(to_fixed(d / float(1024**power), 2), F.lit(f" {unit}"))
-        text = text.when(d < float(1024 ** (power + 1)), scaled) if unit != "TB" else text.otherwise(scaled)
-    return text
+    power = F.lit(0)
+    for i in range(1, len(BYTE_UNITS)):
+        power = F.when(d >= float(1024**i), F.lit(i)).otherwise(power)
+    divisor = F.element_at(F.array(*[F.lit(float(1024**i)) for i in range(len(BYTE_UNITS))]), power + 1)
+    unit = F.element_at(F.array(*[F.lit(u) for u in BYTE_UNITS]), power + 1)
+    return (
+        F.when(~_finite(n) | (d <= 0), "0 B")
+        .when(d < 1024.0, F.concat(js_round(d).cast("string"), F.lit(" B")))
+        .otherwise(F.concat(to_fixed(d / divisor, 2), F.lit(" "), unit))
+    )
 
 
 def format_speed(bytes_per_second: Column) -> Column:

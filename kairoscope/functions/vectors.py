@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORDS = r"[\p{L}\p{N}]+"
+# Runs of letters and digits of any script.
+WORDS = re.compile(r"[^\W_]+")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,29 +49,50 @@ def shift_score(raw: Column) -> Column:
     return (raw + 1.0) / 2.0
 
 
-def embed_text(df: DataFrame, keys: list[str], text: str, dim: int = 64) -> DataFrame:
-    """Hashed bag of words per row, unit length, added as ``embedding``.
+class _WordCodes(dict):
+    """Word -> bucket, plus ``dim`` for a negative sign; filled on demand and bounded."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        digest = hashlib.md5(word.encode()).digest()
+        negative = (digest[4] >> 4) % 2
+        code = self[word] = int.from_bytes(digest[:4], "big") % self.dim + self.dim * negative
+        return code
 
-    Words of the whole text are lower-cased and hashed with MD5: 32 bits pick the
-    bucket, the next hex digit the sign. Each row's words are summed next to its
-    scan, so at most ``dim`` partial sums per row reach the shuffle.
+
+def hash_embedding(text: Column, dim: int = 64) -> Column:
+    """Hashed bag of words of the whole text as a unit vector (zeros without words).
+
+    The first 32 bits of a lower-cased word's MD5 pick the bucket, the next hex
+    digit the sign. An Arrow UDF with a word cache: no word is exploded into a row
+    and nothing is shuffled.
     """
-    words = df.select(
-        *keys, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORDS), F.lit(0))).alias("_w")
-    ).select(*keys, F.md5("_w").alias("_h"))
-    bucket = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % dim
-    sign = F.when(F.conv(F.substring("_h", 9, 1), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
-    sums = words.groupBy(*keys, bucket.cast("int").alias("_b")).agg(F.sum(sign).cast("double").alias("_v"))
-    vectors = sums.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_b", "_v"))).alias("_m"),
-        F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n"),
-    )
-    value = lambda i: F.when(
-        F.col("_n") > 0, F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)) / F.col("_n")
-    ).otherwise(F.lit(0.0))
-    dense = vectors.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value).alias("embedding"))
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    return df.join(dense, keys, "left").withColumn("embedding", F.coalesce("embedding", zeros))
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pa.Array) -> pa.Array:
+        codes = _WordCodes(dim)
+        sums = np.zeros((len(texts), dim))
+        for row, words in enumerate(texts):
+            found = list(map(codes.__getitem__, WORDS.findall(words.as_py() or "")))
+            if found:
+                counts = np.bincount(found, minlength=2 * dim)
+                sums[row] = counts[:dim] - counts[dim:]
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        unit = np.divide(sums, size, out=np.zeros_like(sums), where=size > 0)
+        offsets = pa.array(np.arange(0, (len(texts) + 1) * dim, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))
+
+    return embed(F.lower(text))
+
+
+def embed_text(df: DataFrame, text: str, dim: int = 64) -> DataFrame:
+    """Add ``embedding`` of a text column with the deterministic (non-semantic) backend."""
+    return df.withColumn("embedding", hash_embedding(F.col(text), dim))
 
 
 def mean_vector(df: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:

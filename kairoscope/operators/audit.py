@@ -15,12 +15,16 @@ from .ordered import ordered_groups
 
 
 def chunk_conflicts(chunks: DataFrame) -> DataFrame:
-    """Per (upload, index): writes, distinct contents, and whether they conflict."""
+    """Per (upload, index): number of writes and whether they conflict.
+
+    Contents differ iff the smallest and largest hash differ, which aggregates
+    in one partial pass where a distinct count would need two.
+    """
     grouped = chunks.groupBy("upload_id", "idx").agg(
-        F.count(F.lit(1)).alias("writes"), F.countDistinct("sha256").alias("contents")
+        F.count(F.lit(1)).alias("writes"), (F.min("sha256") != F.max("sha256")).alias("differ")
     )
-    outcome = F.when(F.col("contents") > 1, "conflict").when(F.col("writes") > 1, "replayed").otherwise("single")
-    return grouped.withColumn("outcome", outcome)
+    outcome = F.when(F.col("differ"), "conflict").when(F.col("writes") > 1, "replayed").otherwise("single")
+    return grouped.withColumn("outcome", outcome).drop("differ")
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:

@@ -94,9 +94,15 @@ class LocalBest:
         reached = weighted == np.repeat(best, b.lengths, axis=0)
         position = np.where(reached, np.arange(len(b.component))[:, None], len(b.component))
         winner = np.minimum.reduceat(position, b.starts, axis=0)
-        keep = score >= self.floor[:, None]
         if self.min_similarity > 0:
-            keep &= np.take_along_axis(shifted, winner, axis=0) >= self.min_similarity
+            score = np.where(
+                np.take_along_axis(shifted, winner, axis=0) >= self.min_similarity, score, -np.inf
+            )
+        # k rows of this block reach the block's k-th best, so nothing below it can be among the best k.
+        if score.shape[1] > self.k:
+            at = score.shape[1] - self.k
+            self.floor = np.maximum(self.floor, np.partition(score, at, axis=1)[:, at])
+        keep = (score >= self.floor[:, None]) & (score > -np.inf)
         q, r = np.nonzero(keep)
         if not len(q):
             return
@@ -112,7 +118,7 @@ class LocalBest:
         first = np.searchsorted(cols[0], cols[0], side="left")
         rank = np.arange(len(order)) - first
         full = rank == self.k - 1
-        self.floor[cols[0][full]] = cols[1][full]
+        self.floor[cols[0][full]] = np.maximum(self.floor[cols[0][full]], cols[1][full])
         cols = [c[rank < self.k] for c in cols]
         self.parts, self.pending = [tuple(cols)], len(cols[0])
         return tuple(cols)

@@ -23,8 +23,8 @@ def query_vectors(queries: DataFrame, dim: int, expand: bool = False) -> DataFra
     """``query_id, query`` rows to component vectors with the deterministic backend."""
     guarded = ranking.guard_queries(queries)
     if not expand:
-        return embed_text(guarded, ["query_id"], "query", dim).withColumn("component", F.lit(0))
-    return embed_text(ranking.expand_queries(guarded), ["query_id", "component"], "component_text", dim)
+        return embed_text(guarded, "query", dim).withColumn("component", F.lit(0))
+    return embed_text(ranking.expand_queries(guarded), "component_text", dim)
 
 
 def candidates(vectors: DataFrame, queries: DataFrame, media: DataFrame | None, p: SearchParams) -> DataFrame:

@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ship(spark: SparkSession, package: str = "kairoscope") -> None:
+    """Send a package's sources to the Python workers, once per context."""
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_shipped_packages", set())
+    if package in sent:
+        return
+    fd, path = tempfile.mkstemp(prefix=f"{package}-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, files in os.walk(os.path.join(_ROOT, package)):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, _ROOT))
+    context.addPyFile(path)
+    sent.add(package)
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options that change results or skew handling.
@@ -13,6 +37,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    ship(spark)
     return spark
 
 
