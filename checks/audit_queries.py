@@ -318,21 +318,21 @@ def islands_sql(source: str) -> str:
         select *, sum(opens) over (partition by video_id order by s, e rows unbounded preceding) g from runs) group by video_id, g)"""
 
 
-@query("w13_interval_union", f'with {CACHE}, {islands_sql("cache")} select video_id, round(s, 3) "start", round(e, 3) "end", n n_intervals from islands')
+@query("w13_interval_union", f'with {CACHE}, {islands_sql("cache")} select video_id, round(s * 1000000)::bigint "start", round(e * 1000000)::bigint "end", n n_intervals from islands')
 def w13(spark, d):
-    return _three(intervals.merge_intervals(V.cache(spark, d), ["video_id"]))
+    return _micros(intervals.merge_intervals(V.cache(spark, d), ["video_id"]), "start", "end")
 
 
-def _three(df):
-    return df.withColumns({c: F.round(c, 3) for c in ("start", "end")})
+def _micros(df, *names):
+    return df.withColumns({c: F.round(F.col(c) * 1000000).cast("long") for c in names})
 
 
 USABLE = f"{CACHE}, usable as (select * from cache where fits and complete), {islands_sql('usable')}"
 
 
-@query("w15_valid_coverage", f'with {USABLE} select video_id, round(s, 3) "start", round(e, 3) "end", n n_intervals from islands')
+@query("w15_valid_coverage", f'with {USABLE} select video_id, round(s * 1000000)::bigint "start", round(e * 1000000)::bigint "end", n n_intervals from islands')
 def w15(spark, d):
-    return _three(_islands(spark, d))
+    return _micros(_islands(spark, d), "start", "end")
 
 
 def _islands(spark, d):
@@ -346,7 +346,7 @@ def _islands(spark, d):
     met as (select r.*, greatest(i.s, rs) cs, least(i.e, re) ce from req r join islands i on i.video_id = r.video_id and i.s <= r.re and i.e >= r.rs),
     edges as (select request_id, video_id, rs, re, cs, ce from met union all select request_id, video_id, rs, re, re, re from req),
     gaps as (select *, coalesce(max(ce) over (partition by request_id order by cs, ce rows between unbounded preceding and 1 preceding), rs) gs from edges)
-    select request_id, video_id, round(gs, 3) gap_start, round(cs, 3) gap_end from gaps where cs > gs""",
+    select request_id, video_id, round(gs * 1000000)::bigint gap_start, round(cs * 1000000)::bigint gap_end from gaps where cs > gs""",
 )
 def w14(spark, d):
     at = seconds(F.col("ts"))
@@ -354,16 +354,16 @@ def w14(spark, d):
         F.col("event_id").alias("request_id"), F.col("user_id").alias("video_id"), (at - 3600).alias("start"), (at + 7200).alias("end")
     )
     out = intervals.coverage_gaps(stage(_islands(spark, d), "islands"), requests, ["video_id"])
-    return out.withColumns({c: F.round(c, 3) for c in ("gap_start", "gap_end")})
+    return _micros(out, "gap_start", "gap_end")
 
 
 @query(
     "j8_point_in_interval",
     f"""with {USABLE}, pts as (select event_id, user_id video_id, epoch_us(ts) / 1000000.0::double + 5400 t from events)
-    select p.event_id, p.video_id, i.s is not null covered, round(coalesce(i.s, -1), 3) island_start from pts p
+    select p.event_id, p.video_id, i.s is not null covered, round(coalesce(i.s, -1) * 1000000)::bigint island_start from pts p
     left join islands i on i.video_id = p.video_id and p.t between i.s and i.e""",
 )
 def j8(spark, d):
     points = table(spark, d, "events").select("event_id", F.col("user_id").alias("video_id"), (seconds(F.col("ts")) + 5400).alias("t"))
     out = intervals.covering_island(points, stage(_islands(spark, d), "islands"), ["video_id"], "t", "event_id")
-    return out.select("event_id", "video_id", "covered", F.round(F.coalesce("island_start", F.lit(-1.0)), 3).alias("island_start"))
+    return _micros(out.select("event_id", "video_id", "covered", F.coalesce("island_start", F.lit(-1.0)).alias("island_start")), "island_start")

@@ -54,7 +54,7 @@ def _hit_columns(df):
 @query(
     "v1_cosine",
     f"""with {S.FRAMES}, {S.PROTOTYPES}
-    select f.frame_id, f.video_id, round(list_cosine_similarity(f.embedding, p.embedding), 6) cosine
+    select f.frame_id, f.video_id, round({S.cos('f.embedding', 'p.embedding')}, 6) cosine
     from frames f join proto p on p.query_id = f.video_id""",
 )
 def v1(spark, d):
@@ -80,13 +80,13 @@ def v3(spark, d):
     home as (
       select f.frame_id, f.video_id, f.embedding, c.cell_id from frames f cross join cells c
       qualify row_number() over (partition by f.frame_id
-        order by round(list_cosine_similarity(f.embedding, c.embedding), 12) desc, c.cell_id) = 1),
+        order by round({S.cos('f.embedding', 'c.embedding')}, 12) desc, c.cell_id) = 1),
     probes as (
       select q.query_id, q.embedding, c.cell_id from qvec q cross join cells c
       qualify row_number() over (partition by q.query_id
-        order by round(list_cosine_similarity(q.embedding, c.embedding), 12) desc, c.cell_id) <= 4),
+        order by round({S.cos('q.embedding', 'c.embedding')}, 12) desc, c.cell_id) <= 4),
     found as (
-      select p.query_id, h.frame_id, h.video_id, list_cosine_similarity(h.embedding, p.embedding) raw
+      select p.query_id, h.frame_id, h.video_id, {S.cos('h.embedding', 'p.embedding')} raw
       from probes p join home h using (cell_id)),
     hits as (
       select *, row_number() over (partition by query_id order by score desc, frame_id) as rank
@@ -251,7 +251,7 @@ COARSE_REPS = f"with {S.FRAMES}, {COARSE}, {S.QVEC}, {S.hits('qvec', frames='coa
     "v13_fine_merge",
     f"""{COARSE_REPS}, fine as (
       select v.query_id, v.video_id, v.event_index, f.frame_id, f.ts,
-        list_cosine_similarity(f.embedding, q.embedding) raw, round((1 + list_cosine_similarity(f.embedding, q.embedding)) / 2, 12) score
+        {S.cos('f.embedding', 'q.embedding')} raw, round((1 + {S.cos('f.embedding', 'q.embedding')}) / 2, 12) score
       from visited v join frames f on f.video_id = v.video_id and f.ts between v.ts - 8 and v.ts + 8 join qvec q using (query_id)),
     best as (select * from fine qualify row_number() over (partition by query_id, video_id, event_index order by score desc, ts, frame_id) = 1)
     select r.query_id, r.video_id, r.event_index, case when b.score > r.score then b.frame_id else r.frame_id end frame_id,

@@ -52,11 +52,16 @@ PROTOTYPES = """proto as (
     group by video_id, i) group by video_id)"""
 
 
+def cos(a: str, b: str) -> str:
+    """Cosine with 0 for a vector without length."""
+    return f"coalesce(nullif(list_cosine_similarity({a}, {b}), 'nan'::double), 0)"
+
+
 def hits(queries: str, k: int = 50, where: str = "true", out: str = "hits", frames: str = "frames") -> str:
     return f"""{out} as (
   select *, row_number() over (partition by query_id order by score desc, frame_id) as rank from (
     select *, round((1 + raw) / 2, 12) score from (
-      select query_id, frame_id, video_id, media_type, ts, list_cosine_similarity(f.embedding, q.embedding) raw
+      select query_id, frame_id, video_id, media_type, ts, {cos('f.embedding', 'q.embedding')} raw
       from {frames} f cross join {queries} q)) where {where}
   qualify rank <= {k})"""
 
@@ -66,7 +71,7 @@ def fused(method: str, boost: float = 1.2, k: int = 50) -> str:
     return f"""weighted as (
   select s.*, round((1 + raw) / 2 * case when n > 1 and component = 0 then {boost} else 1 end, 12) w from (
     select c.query_id, c.component, f.frame_id, f.video_id, f.media_type, f.ts,
-           list_cosine_similarity(f.embedding, c.embedding) raw
+           {cos('f.embedding', 'c.embedding')} raw
     from frames f cross join cvec c) s join (select query_id, count(*) n from cvec group by 1) using (query_id)),
 picked as (
   select *, {'w' if method == 'max' else 'total'} score from (

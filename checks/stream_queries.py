@@ -11,7 +11,7 @@ from . import sql as S
 from . import views as V
 from .audit_queries import TRANSITIONS
 from .registry import query
-from .views import rounded, table
+from .views import table
 
 
 def _stream(spark, d, name):
@@ -29,6 +29,11 @@ def _job_log(spark, d):
 TEXT = "yyyy-MM-dd HH:mm:ss"
 
 
+def _shown(windows):
+    total = F.round(F.col("mean") * F.col("n"), 2).alias("total_ms")
+    return windows.select(F.date_format("window_start", TEXT).alias("window_start"), "name", "n", total)
+
+
 @query(
     "g1_latest_status_stream",
     f"with {TRANSITIONS} select job_id, status, event_id from jobs qualify row_number() over (partition by job_id order by ts desc, event_id desc) = 1",
@@ -39,24 +44,24 @@ def g1(spark, d):
 
 @query(
     "g2_tumbling_latency_stream",
-    """select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') window_start, event_type as name, count(*) n, round(avg(value), 6) mean
+    """select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') window_start, event_type as name, count(*) n, round(sum(value), 2) total_ms
     from events group by 1, 2""",
 )
 def g2(spark, d):
     log = _events(spark, d).withColumn("name", F.col("event_type"))
     out, _ = streams.drain(streams.windowed_latency(log, "value", "1 hour"), "complete", "tumbling")
-    return rounded(out.withColumn("window_start", F.date_format("window_start", TEXT)), "mean")
+    return _shown(out)
 
 
 @query(
     "g3_sliding_counter_stream",
     """with w as (select event_type as name, value, unnest([time_bucket(interval 6 hour, ts), time_bucket(interval 6 hour, ts) - interval 6 hour]) s from events)
-    select strftime(s, '%Y-%m-%d %H:%M:%S') window_start, name, count(*) n, round(avg(value), 6) mean from w group by 1, 2""",
+    select strftime(s, '%Y-%m-%d %H:%M:%S') window_start, name, count(*) n, round(sum(value), 2) total_ms from w group by 1, 2""",
 )
 def g3(spark, d):
     log = _events(spark, d).withColumn("name", F.col("event_type"))
     out, _ = streams.drain(streams.windowed_latency(log, "value", "12 hours", "6 hours"), "complete", "sliding")
-    return rounded(out.withColumn("window_start", F.date_format("window_start", TEXT)), "mean")
+    return _shown(out)
 
 
 @query(
