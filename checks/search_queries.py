@@ -96,7 +96,7 @@ def v3(spark, d):
 def v4(spark, d):
     vectors = V.vectors(spark, d)
     cells = stage(retrieval.seed_cells(vectors, 16), "cells")
-    homed = retrieval.assign_cells(vectors, cells)
+    homed = stage(retrieval.assign_cells(vectors, cells), "assigned")
     return _hit_columns(retrieval.approx_top_k(homed, _text_vectors(spark, d), cells, P.top_k, n_probe=4))
 
 

@@ -23,6 +23,7 @@ CARRIED = ("frame_id", "video_id", "media_type", "timestamp")
 PAIR_BUDGET = 4_000_000
 FAN_IN = 64
 BROADCAST_ROWS = 16_384
+CELL_ROWS = 200_000
 # Scores are compared at 12 decimals so that equal vectors tie whatever block they sit in.
 SCORE_DIGITS = 12
 
@@ -213,7 +214,7 @@ def _grid(
     comps = stage(comps, "queries")
     n_query, n_vector = comps.count(), source.count()
     q_blocks = max(1, -(-2 * n_query // rows))
-    v_blocks = max(1, -(-n_vector // 200_000))
+    v_blocks = max(1, -(-n_vector // CELL_ROWS))
     left = comps.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
         "_v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long")))
     )
@@ -221,6 +222,13 @@ def _grid(
         "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))
     )
 
+    scorer = _cell_scorer(k, min_similarity, method, boost)
+    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(scorer, HIT_SCHEMA)
+
+
+def _cell_scorer(k: int, min_similarity: float, method: str, boost: float):
+    """Score one (query block, frame block) cell; both are bounded by the caller."""
+
     def cell(block: pa.Table, frames: pa.Table) -> pa.Table:
         out = None
         if block.num_rows and frames.num_rows:
@@ -228,11 +236,9 @@ def _grid(
             for batch in frames.combine_chunks().to_batches():
                 best.add(batch)
             out = best.result()
-        if out is None:
-            return _EMPTY_HITS
-        return pa.Table.from_batches([out])
+        return _EMPTY_HITS if out is None else pa.Table.from_batches([out])
 
-    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(cell, HIT_SCHEMA)
+    return cell
 
 
 _EMPTY_HITS = pa.table(
@@ -333,38 +339,34 @@ def approx_top_k(
     n_probe: int = 4,
     salts: int = 8,
     broadcast_rows: int = BROADCAST_ROWS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """``k`` nearest frames among each query's ``n_probe`` nearest cells, exactly scored.
 
-    Frames of a cell are salted, so a hot cell spreads over ``salts`` groups and
-    each group meets only the queries that probe its cell. Groups are sized to
-    at most 200,000 frames from the measured cell sizes.
+    A cell is a grid of query blocks and frame blocks whose numbers follow from
+    the measured sizes, so neither a crowded cell nor a popular one makes a big
+    group, and a frame meets only the queries that probe its cell.
     """
     comps = _components(queries).filter(F.col("component") == 0)
     probes = _nearest_cells(cells, comps, n_probe).withColumn("cell_id", F.explode("cell_ids")).drop("cell_ids")
-    sizes = assigned.groupBy("cell_id").agg(
-        F.greatest(F.lit(salts), F.ceil(F.count(F.lit(1)) / 200_000)).cast("int").alias("_salts")
-    )
+    blocks = lambda rows: F.ceil(F.count(F.lit(1)) / rows).cast("int")
+    frame_blocks = assigned.groupBy("cell_id").agg(F.greatest(F.lit(salts), blocks(cell_rows)).alias("_frame_blocks"))
+    query_blocks = probes.groupBy("cell_id").agg(blocks(broadcast_rows).alias("_query_blocks"))
     # One row per cell, and the number of cells is capped when they are made.
-    sizes = F.broadcast(sizes)
-    left = probes.join(sizes, "cell_id").withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    sizes = F.broadcast(frame_blocks.join(query_blocks, "cell_id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = (
+        probes.join(sizes, "cell_id")
+        .withColumn("_q", F.pmod(F.hash("query_id"), F.col("_query_blocks")))
+        .withColumn("_f", every("_frame_blocks"))
     )
-    right = assigned.join(sizes, "cell_id").withColumn("_s", F.pmod(F.hash("frame_id"), F.col("_salts")))
-
-    def cell(block: pa.Table, frames: pa.Table) -> pa.Table:
-        found = []
-        if frames.num_rows:
-            for at in range(0, block.num_rows, broadcast_rows):
-                best = LocalBest(QueryBlock(block.slice(at, broadcast_rows), 1.0), k, 0.0, "max")
-                for batch in frames.combine_chunks().to_batches():
-                    best.add(batch)
-                out = best.result()
-                if out is not None:
-                    found.append(out)
-        return pa.Table.from_batches(found) if found else _EMPTY_HITS
-
-    hits = left.drop("_salts").groupBy("cell_id", "_s").cogroup(
-        right.drop("_salts").groupBy("cell_id", "_s")
-    ).applyInArrow(cell, HIT_SCHEMA)
+    right = (
+        assigned.join(sizes, "cell_id")
+        .withColumn("_f", F.pmod(F.hash("frame_id"), F.col("_frame_blocks")))
+        .withColumn("_q", every("_query_blocks"))
+    )
+    group = ["cell_id", "_q", "_f"]
+    hits = left.drop("_frame_blocks", "_query_blocks").groupBy(*group).cogroup(
+        right.drop("_frame_blocks", "_query_blocks").groupBy(*group)
+    ).applyInArrow(_cell_scorer(k, 0.0, "max", 1.0), HIT_SCHEMA)
     return _rank(hits, k)

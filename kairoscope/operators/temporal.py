@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.vectors import cosine_pairs
 from ..staging import stage
 from .ordered import CHUNK, ordered_groups
+from .skew import attach_group_values
 
 
 # --- events over retrieved hits (at most top_k rows per query) ---------------------
@@ -180,6 +181,16 @@ def reconcile(latest: DataFrame, requeue: bool = False) -> DataFrame:
     )
 
 
+def rollback_vectors(vectors: DataFrame, settled: DataFrame) -> DataFrame:
+    """Vectors of the jobs that :func:`reconcile` rolls back.
+
+    The job list is staged, so the join sees two plain shuffles and a job with
+    very many vectors is split by the runtime skew join.
+    """
+    jobs = stage(settled.filter("rollback").select("job_id"), "rollback")
+    return vectors.join(jobs, "job_id", "left_semi")
+
+
 # --- sampling and deduplication ----------------------------------------------------
 
 
@@ -271,12 +282,13 @@ def dedup_greedy(
     return cold.unionByName(done).select(*out_schema.fieldNames())
 
 
-def content_copies(files: DataFrame, id_col: str, content: str) -> DataFrame:
+def content_copies(files: DataFrame, id_col: str, content: str, limit: int | None = None) -> DataFrame:
     """Byte-identical files: SHA-256, first id and size of each item's group.
 
-    Groups are aggregated before the shuffle and joined back, so a file with very
-    many copies is never gathered; Spark's skew join splits its rows.
+    Groups are aggregated before the shuffle and attached to the rows without
+    ever gathering the copies of one file.
     """
     hashed = files.select(F.col(id_col), F.sha2(F.encode(F.col(content), "UTF-8"), 256).alias("sha256"))
     groups = hashed.groupBy("sha256").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    return hashed.join(groups, "sha256").withColumn("is_first", F.col(id_col) == F.col("first_id"))
+    found = attach_group_values(hashed, groups, ["sha256"], "copies", id_col, limit)
+    return found.withColumn("is_first", F.col(id_col) == F.col("first_id"))

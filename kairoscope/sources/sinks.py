@@ -122,16 +122,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str, update_columns: list[str],
 
 def cascade_delete(tables: dict[str, DataFrame], doomed: DataFrame, key: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """Remaining rows of each table and a (table, deleted, kept) count table."""
-    keys = doomed.select(key).distinct()
+    keys = doomed.select(key)
     remaining = {name: df.join(keys, key, "left_anti") for name, df in tables.items()}
-    marks = keys.withColumn("_gone", F.lit(True))
-    counts = [
-        df.join(marks, key, "left").agg(
-            F.count_if("_gone").alias("deleted"), F.count_if(F.col("_gone").isNull()).alias("kept")
-        ).select(F.lit(name).alias("table"), "deleted", "kept")
-        for name, df in tables.items()
-    ]
-    return remaining, reduce(DataFrame.unionByName, counts)
+    none = F.lit(0).cast("long")
+    parts = []
+    for name, df in tables.items():
+        gone = df.join(keys, key, "left_semi").agg(F.count(F.lit(1)).alias("deleted"))
+        parts.append(gone.select(F.lit(name).alias("table"), "deleted", none.alias("total")))
+        parts.append(df.agg(F.count(F.lit(1)).alias("total")).select(F.lit(name).alias("table"), none.alias("deleted"), "total"))
+    counts = reduce(DataFrame.unionByName, parts).groupBy("table").agg(
+        F.sum("deleted").alias("deleted"), (F.sum("total") - F.sum("deleted")).alias("kept")
+    )
+    return remaining, counts
 
 
 def delete_rows(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
