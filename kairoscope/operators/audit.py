@@ -105,11 +105,9 @@ def consistency_report(checks: dict[str, tuple[DataFrame, DataFrame, str]]) -> D
 def model_consistency(vectors: DataFrame, registry_model: str) -> DataFrame:
     """Each model of the index with its row count, and whether it is the only, registered one."""
     per_model = vectors.groupBy("model").agg(F.count(F.lit(1)).alias("n_vectors"))
-    verdict = per_model.agg(
-        F.count(F.lit(1)).alias("_models"), F.max("model").alias("_model")
-    ).select(F.lit(1).alias("_one"), ((F.col("_models") == 1) & (F.col("_model") == registry_model)).alias("consistent"))
-    # The verdict is one row by construction.
-    return per_model.withColumn("_one", F.lit(1)).join(F.broadcast(verdict), "_one").drop("_one")
+    only = per_model.agg((F.count(F.lit(1)) == 1).alias("x")).scalar()
+    registered = per_model.agg((F.max("model") == registry_model).alias("x")).scalar()
+    return per_model.withColumn("consistent", only & registered)
 
 
 # --- metrics -----------------------------------------------------------------------

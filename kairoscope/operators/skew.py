@@ -26,9 +26,11 @@ def attach_group_values(
     hot = groups.filter(F.col(size) > bound).select(*keys, fields.alias("_hot"))
     cold = groups.filter(F.col(size) <= bound)
     marked = rows.join(F.broadcast(hot), keys, "left")
-    filler = F.when(F.col("_hot").isNotNull(), F.pmod(F.hash(spread_by), F.lit(SPREAD))).otherwise(F.lit(-1))
+    filler = F.when(F.col("_hot").isNotNull(), F.pmod(F.hash(spread_by), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
     left = marked.withColumn("_filler", filler)
-    right = cold.select(*keys, F.lit(-1).alias("_filler"), fields.alias("_cold"))
+    # Always 0, but not a literal: a folded constant would drop out of the join's hash keys.
+    zero = F.pmod(F.hash(*keys), F.lit(1))
+    right = cold.select(*keys, zero.alias("_filler"), fields.alias("_cold"))
     joined = left.join(right, [*keys, "_filler"], "left")
     found = joined.withColumn("_values", F.coalesce("_hot", "_cold")).filter(F.col("_values").isNotNull())
     return found.select(*rows.columns, "_values.*")

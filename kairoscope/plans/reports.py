@@ -32,12 +32,10 @@ def library_report(media: DataFrame, r: LibraryRequest = LibraryRequest()) -> Da
     found = media.filter(filters.library_search(r.search))
     keys = [SORTS[r.sort_by], "video_id"]
     order = [F.desc(k) if r.sort_order == "desc" else F.asc(k) for k in keys]
-    page = audit.page(found, order, r.page, r.page_size).withColumn("_one", F.lit(1))
-    # A single row by construction.
-    total = found.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
+    total = found.agg(F.count(F.lit(1)).alias("total")).scalar()
     return (
-        page.join(F.broadcast(total), "_one")
-        .drop("_one")
+        audit.page(found, order, r.page, r.page_size)
+        .withColumn("total", total)
         .withColumn("size_text", X.format_bytes(F.col("size_bytes")))
         .withColumn("duration_hms", X.format_hms(F.col("duration_seconds")))
     )

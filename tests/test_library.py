@@ -1,6 +1,7 @@
 """Filters, audits, sinks and skewed joins on small literal tables."""
 
 import datetime as dt
+import re
 from collections import Counter
 
 import pytest
@@ -95,6 +96,12 @@ def test_group_values_with_hot_key(spark, limit):
     got = skew.attach_group_values(rows, groups, ["k"], "n", "id", limit).collect()
     sizes = Counter(r["k"] for r in rows.collect())
     assert len(got) == 200 and all(r["n"] == sizes[r["k"]] for r in got)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = skew.attach_group_values(rows, groups, ["k"], "n", "id", limit)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"Exchange hashpartitioning\(k#\d+, _filler#\d+", plan)
 
 
 @pytest.mark.parametrize("limit", [None, 5])
