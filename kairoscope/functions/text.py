@@ -62,17 +62,16 @@ def js_number(x: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    d = n.cast("double")
-    power = F.lit(0)
-    for i in range(1, len(BYTE_UNITS)):
-        power = F.when(d >= float(1024**i), F.lit(i)).otherwise(power)
-    divisor = F.element_at(F.array(*[F.lit(float(1024**i)) for i in range(len(BYTE_UNITS))]), power + 1)
-    unit = F.element_at(F.array(*[F.lit(u) for u in BYTE_UNITS]), power + 1)
-    return (
-        F.when(~_finite(n) | (d <= 0), "0 B")
-        .when(d < 1024.0, F.concat(js_round(d).cast("string"), F.lit(" B")))
-        .otherwise(F.concat(to_fixed(d / divisor, 2), F.lit(" "), unit))
-    )
+    # Kept free of nested conditions: shared parts are then computed once and the
+    # generated code stays small enough to be compiled for several columns at once.
+    d = F.when(_finite(n) & (n > 0), n.cast("double"))
+    power = sum(((d >= float(1024**i)).cast("int") for i in range(1, len(BYTE_UNITS))), F.lit(1))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), power)
+    steps = pick([1, 100, 100, 100, 100]).cast("long")
+    scaled = F.floor(d / pick([float(1024**i) for i in range(len(BYTE_UNITS))]) * steps + 0.5).cast("long")
+    decimals = F.substr(F.concat(F.lit("."), F.lpad((scaled % steps).cast("string"), 2, "0")), F.lit(1), pick([0, 3, 3, 3, 3]))
+    whole = F.floor(scaled / steps).cast("string")
+    return F.coalesce(F.concat(whole, decimals, F.lit(" "), pick(BYTE_UNITS)), F.lit("0 B"))
 
 
 def format_speed(bytes_per_second: Column) -> Column:
@@ -82,19 +81,16 @@ def format_speed(bytes_per_second: Column) -> Column:
 
 def _two_digits(n: Column) -> Column:
     text = n.cast("string")
-    return F.when(n < 10, F.concat(F.lit("0"), text)).otherwise(text)
+    return F.lpad(text, F.greatest(F.length(text), F.lit(2)), F.lit("0"))
 
 
 def format_hms(seconds: Column) -> Column:
     """``MM:SS``, or ``HH:MM:SS`` from one hour on."""
-    total = F.greatest(F.lit(0).cast("long"), js_round(F.when(_finite(seconds), seconds)))
-    parts = [F.floor(total / 3600), F.floor(total % 3600 / 60), total % 60]
-    h, m, s = (_two_digits(p.cast("long")) for p in parts)
-    return (
-        F.when(~_finite(seconds), DASH)
-        .when(parts[0] > 0, F.concat_ws(":", h, m, s))
-        .otherwise(F.concat_ws(":", m, s))
-    )
+    total = F.when(_finite(seconds), F.greatest(F.lit(0).cast("long"), js_round(seconds)))
+    hours = F.floor(total / 3600).cast("long")
+    minutes, rest = (_two_digits(F.floor(part).cast("long")) for part in (total % 3600 / 60, total % 60))
+    head = F.when(hours > 0, F.concat(_two_digits(hours), F.lit(":"))).otherwise("")
+    return F.coalesce(F.concat(head, minutes, F.lit(":"), rest), F.lit(DASH))
 
 
 def _minutes(d: Column) -> Column:
