@@ -349,6 +349,10 @@ def approx_top_k(
     """
     comps = _components(queries).filter(F.col("component") == 0)
     probes = _nearest_cells(cells, comps, n_probe).withColumn("cell_id", F.explode("cell_ids")).drop("cell_ids")
+    probes = stage(probes, "probes")
+    # At most one id per cell, and cells are capped: on a table partitioned by cell, other folders are not read.
+    probed = [r["cell_id"] for r in probes.select("cell_id").distinct().collect()]
+    assigned = assigned.filter(F.col("cell_id").isin(probed))
     blocks = lambda rows: F.ceil(F.count(F.lit(1)) / rows).cast("int")
     frame_blocks = assigned.groupBy("cell_id").agg(F.greatest(F.lit(salts), blocks(cell_rows)).alias("_frame_blocks"))
     query_blocks = probes.groupBy("cell_id").agg(blocks(broadcast_rows).alias("_query_blocks"))

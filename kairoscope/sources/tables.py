@@ -24,6 +24,16 @@ def write_vectors(vectors: DataFrame, path: str, by: str = "cell_id") -> None:
     vectors.write.mode("append").partitionBy(by).parquet(path)
 
 
+INDEX_SCHEMA = (
+    "frame_id string, video_id string, media_type string, timestamp double, embedding array<float>, cell_id string"
+)
+
+
+def scan_index(spark: SparkSession, path: str) -> DataFrame:
+    """The assigned vectors; the schema is fixed so that numeric-looking cell ids stay text."""
+    return spark.read.schema(INDEX_SCHEMA).parquet(path)
+
+
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
     """Point lookup; the equality reaches the Parquet scan."""
     return df.filter(F.col(key) == F.lit(value))

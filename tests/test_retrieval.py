@@ -1,5 +1,7 @@
 """Retrieval paths agree with brute force; ranking rules hold on small cases."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from kairoscope.functions.vectors import cosine, cosine_pairs, embed_text
 from kairoscope.operators import ranking, retrieval, temporal
 from kairoscope.schemas import STAMP_COLUMNS, RerankWeights
+from kairoscope.sources.tables import scan_index, write_vectors
 
 DIM, N, Q = 8, 400, 12
 
@@ -111,6 +114,17 @@ def test_approximate(data, small):
     assert found / (20 * Q) > 0.6
 
 
+def test_unprobed_cells_are_not_read(data, spark, tmp_path):
+    vectors, queries, _ = data
+    cells = retrieval.seed_cells(vectors, 8)
+    write_vectors(retrieval.assign_cells(vectors, cells), str(tmp_path / "index"))
+    index = scan_index(spark, str(tmp_path / "index"))
+    one = queries.filter("query_id = 'q0' and component = 0")
+    hits = retrieval.approx_top_k(index, one, cells, 5, n_probe=1)
+    assert hits.count() == 5
+    assert re.search(r"PartitionFilters: \[[^\]]*cell_id", hits._jdf.queryExecution().toString())
+
+
 def test_cosine_forms_agree(data):
     vectors, queries, _ = data
     pair = vectors.limit(50).withColumn("b", F.reverse("embedding"))
