@@ -10,9 +10,13 @@ RULE = "-" * 40
 BYTE_UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
+INFINITY = float("inf")
+
+
 def _finite(x: Column) -> Column:
+    """False for null, NaN (which sorts above infinity) and the infinities."""
     d = x.cast("double")
-    return d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
+    return F.coalesce((d > -INFINITY) & (d < INFINITY), F.lit(False))
 
 
 def js_round(x: Column) -> Column:
@@ -61,22 +65,26 @@ def js_number(x: Column) -> Column:
     )
 
 
-def format_bytes(n: Column) -> Column:
+def _bytes_or_null(n: Column) -> Column:
     # Kept free of nested conditions: shared parts are then computed once and the
     # generated code stays small enough to be compiled for several columns at once.
-    d = F.when(_finite(n) & (n > 0), n.cast("double"))
+    n = n.cast("double")
+    d = F.when((n > 0) & (n < INFINITY), n)
     power = sum(((d >= float(1024**i)).cast("int") for i in range(1, len(BYTE_UNITS))), F.lit(1))
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), power)
     steps = pick([1, 100, 100, 100, 100]).cast("long")
     scaled = F.floor(d / pick([float(1024**i) for i in range(len(BYTE_UNITS))]) * steps + 0.5).cast("long")
     decimals = F.substr(F.concat(F.lit("."), F.lpad((scaled % steps).cast("string"), 2, "0")), F.lit(1), pick([0, 3, 3, 3, 3]))
     whole = F.floor(scaled / steps).cast("string")
-    return F.coalesce(F.concat(whole, decimals, F.lit(" "), pick(BYTE_UNITS)), F.lit("0 B"))
+    return F.concat(whole, decimals, F.lit(" "), pick(BYTE_UNITS))
+
+
+def format_bytes(n: Column) -> Column:
+    return F.coalesce(_bytes_or_null(n), F.lit("0 B"))
 
 
 def format_speed(bytes_per_second: Column) -> Column:
-    d = bytes_per_second.cast("double")
-    return F.when(~_finite(d) | (d <= 0), DASH).otherwise(F.concat(format_bytes(d), F.lit("/s")))
+    return F.coalesce(F.concat(_bytes_or_null(bytes_per_second), F.lit("/s")), F.lit(DASH))
 
 
 def _two_digits(n: Column) -> Column:
@@ -103,14 +111,15 @@ def _ceil_text(d: Column) -> Column:
 
 def format_eta(seconds: Column) -> Column:
     """Remaining time; the seconds part may read 60, as in the client."""
-    d = F.when(_finite(seconds), seconds.cast("double"))
-    m = _minutes(d)
-    return (
-        F.when(d.isNull() | (d < 0), DASH)
-        .when(d < 60, F.concat(_ceil_text(d), F.lit(" sec")))
-        .when(m < 60, F.concat(m.cast("string"), F.lit("m "), _ceil_text(d % 60), F.lit("s")))
-        .otherwise(F.concat(_minutes(m).cast("string"), F.lit("h "), (m % 60).cast("string"), F.lit("m")))
-    )
+    n = seconds.cast("double")
+    d = F.when((n >= 0) & (n < INFINITY), n)
+    kind = (d >= 60).cast("int") + (d >= 3600).cast("int") + 1
+    pick = lambda *values: F.element_at(F.array(*values), kind)
+    m, up = _minutes(d), lambda x: F.ceil(x).cast("long")
+    lead = pick(up(d), m, _minutes(m)).cast("string")
+    tail = pick(F.lit(0).cast("long"), up(d % 60), m % 60).cast("string")
+    long_text = F.when(kind > 1, F.concat(tail, pick(F.lit(""), F.lit("s"), F.lit("m")))).otherwise("")
+    return F.coalesce(F.concat(lead, pick(F.lit(" sec"), F.lit("m "), F.lit("h ")), long_text), F.lit(DASH))
 
 
 def job_eta_text(remaining: Column) -> Column:
