@@ -90,43 +90,40 @@ def accepted_chunks(chunks: DataFrame, late: str) -> DataFrame:
     return chunks.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["upload_id", "idx", "sha256"])
 
 
-def transition_stream(log: DataFrame, limit: int | None = None) -> DataFrame:
+def transition_stream(log: DataFrame, limit: int | None = None, base: str | None = None) -> DataFrame:
     """Check job state changes batch by batch; return the invalid ones.
 
     State is one row per job - its last status - kept as a table per batch. A
-    batch is the stored rows plus the new ones in order, so the batch operator
-    does the checking and a job with very many rows is split like in batch jobs.
+    batch is the previous batch's state plus the new rows in order, so the batch
+    operator does the checking and a job with very many rows is split like in
+    batch jobs. Calling again with the same ``base`` folder resumes the stream.
     """
     spark = log.sparkSession
-    state_dir, out = new_path(spark, "job-state"), new_path(spark, "invalid-transitions")
+    base = base or new_path(spark, "transitions")
     columns = ["job_id", "event_id", "ts", "status"]
     schema = log.select(*columns).schema
-    done: list[int] = []
+    result = T.StructType([*schema.fields, T.StructField("previous_status", T.StringType())])
+    spark.createDataFrame([], result).write.mode("overwrite").parquet(f"{base}/invalid/batch=-1")
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        earlier = [b for b in done if b < batch_id]
         fresh = batch.select(*columns).withColumn("_new", F.lit(True))
-        if earlier:
-            state = spark.read.schema(schema).parquet(f"{state_dir}/batch={max(earlier)}")
+        if batch_id > 0:
+            state = spark.read.schema(schema).parquet(f"{base}/state/batch={batch_id - 1}")
             fresh = fresh.unionByName(state.withColumn("_new", F.lit(False)))
         linked = ordered_groups(fresh, ["job_id"], ["ts", "event_id"], limit).lag(previous_status="status").result()
         invalid = linked.filter(F.col("_new") & ~transition_allowed(F.col("previous_status"), F.col("status")))
-        invalid.drop("_new").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        invalid.drop("_new").write.mode("overwrite").parquet(f"{base}/invalid/batch={batch_id}")
         last = latest_per_key(fresh.drop("_new"), ["job_id"], ["ts", "event_id"]).select(*columns)
-        last.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
-        done.append(batch_id)
+        last.write.mode("overwrite").parquet(f"{base}/state/batch={batch_id}")
 
     query = (
-        log.writeStream.option("checkpointLocation", new_path(spark, "transitions-progress"))
+        log.writeStream.option("checkpointLocation", f"{base}/progress")
         .trigger(availableNow=True)
         .foreachBatch(check)
         .start()
     )
     query.awaitTermination()
-    result = T.StructType([*schema.fields, T.StructField("previous_status", T.StringType())])
-    if not done:
-        return spark.createDataFrame([], result)
-    return spark.read.schema(result).parquet(*[f"{out}/batch={b}" for b in sorted(set(done))])
+    return spark.read.schema(result).parquet(f"{base}/invalid").select(*result.fieldNames())
 
 
 def index_stream(frames: DataFrame, embed, table_path: str, key: str = "frame_id") -> None:

@@ -37,6 +37,18 @@ def test_transitions(spark, job_log, limit):
     assert got == {(r["event_id"], r["previous_status"]) for r in want.collect()}
 
 
+def test_transitions_resume(spark, job_log, tmp_path):
+    _, table = job_log
+    schema = "job_id string, event_id long, ts timestamp, status string"
+    rows = [tuple(r) for r in table.orderBy("event_id").collect()]
+    for half in (rows[:100], rows[100:]):
+        write_parts(spark, half, schema, str(tmp_path / "in"), 2)
+        log = streams.read_log(spark, str(tmp_path / "in"), table.schema, files_per_batch=1)
+        out = streams.transition_stream(log, base=str(tmp_path / "job"))
+    want = temporal.validate_transitions(table, ["ts", "event_id"]).filter("not allowed")
+    assert sorted(r["event_id"] for r in out.collect()) == sorted(r["event_id"] for r in want.collect())
+
+
 def test_latest_status(spark, job_log):
     path, table = job_log
     out, progress = streams.drain(streams.latest_status(streams.read_log(spark, path, table.schema, files_per_batch=1)), "complete", "latest")
