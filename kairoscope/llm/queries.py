@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, packing
+from ..staging import stage
+from . import bpe, packing, quality_classifier, quality_rules
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
 
@@ -48,6 +49,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    measured = stage(quality_rules.measure(docs).drop("text"), "measured")
+    cutoffs = quality_rules.certify(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.judge(measured, cutoffs).drop("lang")
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.fit(docs, labels.filter(quality_classifier.remainder() != 2))
+    held_out = (quality_classifier.remainder() == 2).alias("held_out")
+    return quality_classifier.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 @query("op9_bpe_round_trip")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
