@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..staging import stage
-from . import bpe, packing, quality_classifier, quality_rules
+from . import bpe, packing, quality_classifier, quality_rules, url_filter
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
 
@@ -49,6 +49,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages).drop("url")
+
+
 @query("op6_quality_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
