@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..staging import stage
-from . import bpe, packing, quality_classifier, quality_rules, url_filter
+from . import bpe, minhash, packing, quality_classifier, quality_rules, url_filter
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
 
@@ -81,3 +81,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_minhash_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = minhash.near_classes(docs)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_key"))).withColumnRenamed("class_key", "class_id")
