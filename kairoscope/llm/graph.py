@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
@@ -41,3 +43,54 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(now) == mark:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(now)
+
+
+#: How many times more members of a bucket are compared with the rest in each further round.
+WIDEN = 8
+
+
+def linked(
+    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], admit: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
+    """(node, root) of the classes that verified links make among nodes sharing buckets.
+
+    ``shared`` holds (bucket, c, size) with the number of nodes in the bucket and any
+    columns that ``admit``, a cheap test of two members, reads from its two structs;
+    ``verify`` returns those of the pairs (a, b) that are linked.
+
+    No bucket is expanded into all pairs from the start. First the most popular member,
+    the one in most and largest buckets, is compared with the rest of its bucket. A
+    bucket whose members are one component is done. In the others ``WIDEN`` times more
+    members in each round, picked by a hash, are compared with the members of other
+    components, until all of them have been: a pair is left out only when both sides
+    are in one component already, so no component can differ from that of all pairs.
+    """
+    extra = [c for c in shared.columns if c not in ("bucket", "c", "size")]
+    popular = shared.groupBy("c").agg(F.sum(F.log2("size")).alias("popular"))
+    leader = F.max_by(F.struct("c", *extra), F.struct("popular", "c"))
+    leaders = shared.join(popular, "c").groupBy("bucket").agg(leader.alias("lead"))
+    mine = F.struct("c", *extra)
+
+    def pairs_of(joined: DataFrame) -> DataFrame:
+        joined = joined.filter(F.col("lead.c") != F.col("c"))
+        if admit is not None:
+            joined = joined.filter(admit(F.col("lead"), mine))
+        return joined.select(F.least("lead.c", "c").alias("a"), F.greatest("lead.c", "c").alias("b")).distinct()
+
+    found = components(stage(verify(pairs_of(shared.join(leaders, "bucket"))), "verified"))
+    members, share = shared, 1
+    while True:
+        members = members.drop("root").join(found.withColumnRenamed("node", "c"), "c", "left")
+        members = members.withColumn("root", F.coalesce("root", "c"))
+        mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        members = stage(members.join(mixed.select("bucket"), "bucket"), "members")
+        if members.isEmpty():
+            return found
+        share *= WIDEN
+        # About ``share`` members of a bucket lead; all of them in buckets of less than twice that size.
+        chosen = F.pmod(F.xxhash64("c", "bucket"), F.greatest(F.lit(1), F.floor(F.col("size") / share))) == 0
+        lead = members.filter(chosen).select("bucket", F.struct("c", *extra).alias("lead"), F.col("root").alias("lead_root"))
+        joined = members.join(lead, (members["bucket"] == lead["bucket"]) & (members["root"] != lead["lead_root"])).drop(lead["bucket"])
+        known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = components(stage(verify(pairs_of(joined)).unionByName(known), "verified"))
+        members = members.filter(F.floor(F.col("size") / share) > 1)

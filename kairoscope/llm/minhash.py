@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..staging import stage
-from .graph import components
+from .graph import linked
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -49,9 +49,6 @@ ROWS = 8
 GROUP_WORDS = 500_000
 #: Contents whose ids are broadcast at most (32 bytes each); beyond it an ordinary join is used.
 BROADCAST_ROWS = 500_000
-#: How many times more members a bucket compares with the rest in each further round.
-WIDEN = 8
-
 _SPACE = r"[\x20\x09-\x0D]+"
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = 0x9E3779B97F4A7C15
@@ -204,8 +201,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     placed = contents.select("c", F.explode("bands").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = stage(placed.join(sizes, "bucket"), "shared")
-    popular = shared.groupBy("c").agg(F.sum(F.log2("size")).alias("popular"))
-    nodes = stage(popular.join(contents.select("c", "least"), "c"), "nodes")
+    nodes = stage(contents.join(shared.select("c").distinct(), "c").select("c", "least"), "nodes")
 
     # Shingle sets of the contents that have candidates, from the row with the smallest key.
     wanted = nodes.select("c", F.col("least").alias("_least"))
@@ -214,27 +210,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     elements = T.StructField("elements", T.ArrayType(T.LongType()))
     sets = stage(asked.mapInArrow(_sets, T.StructType([asked.schema["c"], elements])), "sets")
 
-    leaders = shared.join(popular, "c").groupBy("bucket").agg(F.max_by("c", F.struct("popular", "c")).alias("leader"))
-    pairs = shared.join(leaders, "bucket").select(F.col("leader").alias("a"), F.col("c").alias("b"))
-    links = stage(_verified(pairs.filter("a != b").distinct(), sets), "verified")
-    found = components(links)
-    members, share = shared, 1
-    while True:
-        members = members.select("bucket", "c", "size").join(found.withColumnRenamed("node", "c"), "c", "left")
-        members = members.select("bucket", "c", "size", F.coalesce("root", "c").alias("root"))
-        mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        members = stage(members.join(mixed.select("bucket"), "bucket"), "members")
-        if members.isEmpty():
-            break
-        share *= WIDEN
-        # About ``share`` members of a bucket lead; all of them once it has no more members than that.
-        chosen = F.pmod(F.xxhash64("c", "bucket"), F.greatest(F.lit(1), F.floor(F.col("size") / share))) == 0
-        lead = members.filter(chosen).select("bucket", F.col("c").alias("a"), F.col("root").alias("lead_root"))
-        other = (members["bucket"] == lead["bucket"]) & (members["root"] != lead["lead_root"])
-        pairs = members.join(lead, other).select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
-        links = stage(_verified(pairs, sets).unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "verified")
-        found = components(links)
-        members = members.filter(F.floor(F.col("size") / share) > 1)
+    found = linked(shared, lambda pairs: _verified(pairs, sets))
     classes = contents.select("c", "least", "copies").join(found.withColumnRenamed("node", "c"), "c", "left")
     classes = stage(classes.select("c", "least", "copies", F.coalesce("root", "c").alias("root")), "classes")
     heads = classes.groupBy("root").agg(

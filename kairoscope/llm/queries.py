@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..staging import stage
-from . import bpe, minhash, packing, quality_classifier, quality_rules, url_filter
+from . import bpe, chat, line_dedup, minhash, packing, quality_classifier, quality_rules, url_filter
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
 
@@ -72,6 +72,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+@query("op8_chat_prefix_tree")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    roles = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), roles.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    tree = chat.build(given.unionByName(extra), vocabulary_path())
+    back = chat.read_back(tree, vocabulary_path())
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op9_bpe_round_trip")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -88,3 +108,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = minhash.near_classes(docs)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_key"))).withColumnRenamed("class_key", "class_id")
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = line_dedup.fuzzy_lines(docs)
+    return found.withColumnRenamed("keep_key", "keep_doc_id")
