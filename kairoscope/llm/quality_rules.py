@@ -93,18 +93,19 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     lines = F.filter(F.split("_body", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
     rows = rows.withColumn("_lines", lines)
-    rows = rows.withColumns(
-        {
-            "n_words": F.col("_n").cast("long"),
-            "word_chars": F.length(F.translate("_body", " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": _removed(F.col("_body"), "#*$%&|<>"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": covered,
-            "_shouts": _removed(F.col("_body"), "!"),
-            "_upper": _removed(F.col("_body"), _UPPER),
-            "_n_lines": F.size("_lines"),
-        }
-    ).drop("_body", "_words", "_mask", "_starts", "_lines", "_n")
+    counts = {
+        "n_words": F.col("_n").cast("long"),
+        "word_chars": F.length(F.translate("_body", " \t\n\x0b\x0c\r", "")).cast("long"),
+        "n_symbols": _removed(F.col("_body"), "#*$%&|<>"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_repeat_words": covered,
+        "_shouts": _removed(F.col("_body"), "!"),
+        "_upper": _removed(F.col("_body"), _UPPER),
+        "_n_lines": F.size("_lines"),
+    }
+    # A generator of one row: filters on the results must not be moved below it, where
+    # they would repeat the counting inside every lambda.
+    rows = rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in counts.items()]))))
     some = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
     rates = {
         "symbol_rate": F.col("n_symbols") / some("word_chars"),

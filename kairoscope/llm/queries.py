@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from ..staging import stage
-from . import bpe, chat, line_dedup, minhash, packing, quality_classifier, quality_rules, url_filter
+from ..staging import new_path, stage
+from . import bpe, chat, line_dedup, minhash, packing, quality_classifier, quality_rules, token_rollup, url_filter
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
 
@@ -115,3 +115,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = line_dedup.fuzzy_lines(docs)
     return found.withColumnRenamed("keep_key", "keep_doc_id")
+
+
+@query("op5_token_rollup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provisional counts of all documents (twice, as after a retry), then the real
+    counts as revisions, then deletions of the texts that turned out empty."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    docs = docs.withColumn("tokenizer", F.lit("byte_bpe_50k"))
+    rollup = token_rollup.TokenRollup(spark, new_path(spark, "rollup"))
+    guess = F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 4)
+    loaded = docs.withColumns({"n_tokens": guess, "action": F.lit("insert")}).drop("text")
+    rollup.apply(loaded, "load")
+    rollup.apply(loaded, "load")
+    counted = stage(token_rollup.count_tokens(docs, vocabulary_path()), "counted")
+    rollup.apply(counted.withColumn("action", F.lit("revise")), "count")
+    rollup.apply(counted.filter("n_tokens = 0").withColumn("action", F.lit("delete")), "drop-empty")
+    return rollup.totals()
