@@ -1,12 +1,90 @@
-"""Stages of the training-data pipeline over ``documents``."""
+"""Training-data pipeline: quality, deduplication and packing of ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's ``docs``. All stages but the last return
+the columns of documents. Stages that drop rows identify them by their place in the
+files they read, so repeated rows and null ids are told apart.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kairoscope.llm import exact_dedup, minhash, packing, quality_classifier, quality_rules
+from kairoscope.llm.queries import vocabulary_path
+from kairoscope.session import prepare
+from kairoscope.staging import stage
+
+#: Dropped rows that are broadcast at most (8 bytes each); beyond it an ordinary join is used.
+BROADCAST_ROWS = 1_000_000
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with their place in the files read: the same whenever the same files are read."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows numbered in ``dropped``."""
+    dropped = stage(dropped.select("_row"), "dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
+    return _numbered(docs).join(dropped, "_row", "left_anti").select(*docs.columns)
+
+
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts."""
+    prepare(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(quality_classifier.remainder() != 2)
+    model = quality_classifier.fit(docs, labels)
+    scored = quality_classifier.score(docs.withColumn("_scored", F.col("text")), model, "_scored")
+    return scored.filter("predicted = 1").select(*docs.columns)
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the certified cutoffs."""
+    prepare(spark)
+    measured = quality_rules.measure(docs)
+    cutoffs = stage(quality_rules.certify(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")), "cutoffs")
+    return quality_rules.judge(measured, cutoffs).filter("kept").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    prepare(spark)
+    found = exact_dedup.exact_dedup(_numbered(docs).select("_row", "text"), key="_row")
+    return _without(docs, found.filter(~F.col("kept")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    prepare(spark)
+    found = minhash.near_classes(_numbered(docs).select("_row", "text"), key="_row")
+    return _without(docs, found.filter("_row != class_key"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    prepare(spark)
+    pieces = packing.pack(docs, vocabulary_path(), keep=["doc_id"])
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [
+    ("quality classifier", judge_quality),
+    ("quality rules", apply_rules),
+    ("exact dedup", drop_copies),
+    ("minhash near-dedup", drop_near_copies),
+    ("packing", pack),
+]
 
-STAGES = []
+#: SQL can neither compress, sketch nor tokenize; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
