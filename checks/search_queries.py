@@ -583,12 +583,12 @@ def s6(spark, d):
 @query(
     "s5_export_json",
     f"""{SHAPED}, framed as (
-      select query_id, frame_id, to_json(list(struct_pack(frame_id := nf, "timestamp" := nt, timestamp_hms := {S.hms('nt')},
-        frame_url := 'frames/' || video_id || '/' || nf || '.jpg') order by nt, nf)) frames_json
+      select query_id, frame_id, '[' || string_agg('{{"frame_id":' || to_json(nf) || ',"timestamp":' || {S.number('nt')} || ',"timestamp_hms":'
+        || to_json({S.hms('nt')}) || ',"frame_url":' || to_json('frames/' || video_id || '/' || nf || '.jpg') || '}}', ',' order by nt, nf) || ']' frames_json
       from ctx_frames join (select query_id, frame_id, video_id from joined) using (query_id, frame_id) group by query_id, frame_id)
     select query_id, frame_id, '{{"query":' || to_json(query) || ',"media":' || to_json(filename) || ',"media_type":' || to_json(media_type)
-      || ',"timestamp":' || to_json(round(ts, 6)) || ',"start":' || coalesce(to_json(round(cs, 6))::varchar, 'null') || ',"end":' || coalesce(to_json(round(ce, 6))::varchar, 'null')
-      || ',"score":' || to_json(round(sim, 6)) || ',"frame_id":' || to_json(frame_id) || ',"retrieval_stage":"coarse","context_frames":' || frames_json
+      || ',"timestamp":' || {JS_NUMBERS['ts']} || ',"start":' || coalesce({JS_NUMBERS['cs']}, 'null') || ',"end":' || coalesce({JS_NUMBERS['ce']}, 'null')
+      || ',"score":' || {JS_NUMBERS['sim']} || ',"frame_id":' || to_json(frame_id) || ',"retrieval_stage":"coarse","context_frames":' || frames_json
       || ',"reason":' || to_json(reason) || ',"context":' || to_json({CONTEXT_SQL}) || '}}' line
     from shaped join framed using (query_id, frame_id)""",
 )

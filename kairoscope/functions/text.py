@@ -285,24 +285,47 @@ def reason_text(frame_id: Column, raw_cosine: Column, n_frames: Column) -> Colum
     )
 
 
+def _json_text(value: Column) -> Column:
+    """A quoted JSON string, or null."""
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _json_number(value: Column) -> Column:
+    """JSON has no NaN and no infinities: they become null, as in a script engine."""
+    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return F.coalesce(F.when(finite, js_number(value)), F.lit("null"))
+
+
+def _json_object(**members: Column) -> Column:
+    parts = []
+    for n, (name, value) in enumerate(members.items()):
+        parts += [F.lit(("{" if n == 0 else ",") + f'"{name}":'), value]
+    return F.concat(*parts, F.lit("}"))
+
+
 def result_json() -> Column:
-    """The 12-key export object, keys in fixed order, nulls kept."""
-    return F.to_json(
-        F.struct(
-            F.col("query"),
-            F.col("video_name").alias("media"),
-            F.col("media_type"),
-            F.col("timestamp"),
-            F.col("context_start").alias("start"),
-            F.col("context_end").alias("end"),
-            F.col("similarity").alias("score"),
-            F.col("frame_id"),
-            F.col("retrieval_stage"),
-            F.col("context_frames"),
-            F.col("context_reason").alias("reason"),
-            F.coalesce(F.col("context_text"), context_text()).alias("context"),
+    """The 12-key export object, keys in fixed order, nulls kept, numbers as a script prints them."""
+    frames = F.transform(
+        F.col("context_frames"),
+        lambda f: _json_object(
+            frame_id=_json_text(f["frame_id"]), timestamp=_json_number(f["timestamp"]),
+            timestamp_hms=_json_text(f["timestamp_hms"]), frame_url=_json_text(f["frame_url"]),
         ),
-        {"ignoreNullFields": "false"},
+    )
+    return _json_object(
+        query=_json_text(F.col("query")),
+        media=_json_text(F.col("video_name")),
+        media_type=_json_text(F.col("media_type")),
+        timestamp=_json_number(F.col("timestamp")),
+        start=_json_number(F.col("context_start")),
+        end=_json_number(F.col("context_end")),
+        score=_json_number(F.col("similarity")),
+        frame_id=_json_text(F.col("frame_id")),
+        retrieval_stage=_json_text(F.col("retrieval_stage")),
+        context_frames=F.coalesce(F.concat(F.lit("["), F.array_join(frames, ","), F.lit("]")), F.lit("null")),
+        reason=_json_text(F.col("context_reason")),
+        context=_json_text(F.coalesce(F.col("context_text"), context_text())),
     )
 
 

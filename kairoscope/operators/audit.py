@@ -200,12 +200,18 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
 
 
 def keyset_page(df: DataFrame, sort: str, key: str, last: tuple | None, size: int, descending: bool = True) -> DataFrame:
-    """Rows after ``last = (sort value, key)``; the bound is a pushable filter."""
-    order = [F.desc(sort), F.desc(key)] if descending else [F.asc(sort), F.asc(key)]
+    """Rows after ``last = (sort value, key)``; the bound is a pushable filter.
+
+    Rows without a sort value come last in either direction, in key order.
+    """
+    order = [F.desc_nulls_last(sort), F.desc(key)] if descending else [F.asc_nulls_last(sort), F.asc(key)]
     if last is not None:
         value, k = F.lit(last[0]), F.lit(last[1])
-        if descending:
-            df = df.filter((F.col(sort) <= value) & ((F.col(sort) < value) | (F.col(key) < k)))
+        later = F.col(key) < k if descending else F.col(key) > k
+        if last[0] is None:
+            df = df.filter(F.col(sort).isNull() & later)
+        elif descending:
+            df = df.filter(F.col(sort).isNull() | (F.col(sort) < value) | ((F.col(sort) == value) & later))
         else:
-            df = df.filter((F.col(sort) >= value) & ((F.col(sort) > value) | (F.col(key) > k)))
+            df = df.filter(F.col(sort).isNull() | (F.col(sort) > value) | ((F.col(sort) == value) & later))
     return df.orderBy(*order).limit(size)

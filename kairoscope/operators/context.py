@@ -28,7 +28,8 @@ def with_context(
     ``moments``: one row per (query_id, frame_id) with ``video_id, timestamp,
     duration, media_type``. The window is cut into ``bins`` parts; each keeps the
     frame nearest its centre, and the match always stays. Both steps aggregate
-    partially, so frames that crowd one window never meet in one task.
+    partially, so frames that crowd one window never meet in one task. A match
+    without neighbours, or behind the end of its item, keeps itself as its only frame.
     """
     low, high = segment_window(F.col("timestamp"), F.col("duration"), window_s)
     keys = ["query_id", "frame_id"]
@@ -48,6 +49,9 @@ def with_context(
         F.first("_m").alias("_m"),
     )
     match = F.struct(F.col("_m.timestamp").alias("timestamp"), F.col("frame_id"))
+    # Every moment counts as a part of its own, so none is lost with its window.
+    own = packed.select(*keys, F.lit(-1).alias("_bin"), match.alias("_frame"), "_m")
+    chosen = chosen.unionByName(own)
     gathered = chosen.groupBy(*keys).agg(F.collect_list("_frame").alias("_frames"), F.first("_m").alias("_m"))
     picked = F.array_sort(F.array_distinct(F.array_append(F.col("_frames"), match)))
     listed = gathered.withColumn("_picked", picked)

@@ -183,6 +183,8 @@ def order_results(
     """Rank results per query and keep the first ``final_results``."""
     column = {"relevance": "final_score", "timestamp": "timestamp", "upload_date": "uploaded_at"}[sort_by]
     first = F.desc_nulls_last(column) if sort_order == "desc" else F.asc_nulls_last(column)
+    if sort_by == "relevance" and "final_rank" in results.columns:  # an accepted permutation: rank 1 is best
+        first = F.asc("final_rank") if sort_order == "desc" else F.desc("final_rank")
     w = Window.partitionBy("query_id").orderBy(first, F.asc("frame_id"))
     ranked = results.withColumn("rank", F.row_number().over(w))
     return ranked if final_results is None else ranked.filter(F.col("rank") <= final_results)

@@ -338,17 +338,23 @@ def approx_top_k(
     k: int = 50,
     n_probe: int = 4,
     salts: int = 8,
+    method: str = "max",
+    boost: float = 1.2,
     broadcast_rows: int = BROADCAST_ROWS,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """``k`` nearest frames among each query's ``n_probe`` nearest cells, exactly scored.
 
+    A query of several components visits the cells near any of them, and all its
+    components are fused there as in :func:`top_k`.
+
     A cell is a grid of query blocks and frame blocks whose numbers follow from
     the measured sizes, so neither a crowded cell nor a popular one makes a big
     group, and a frame meets only the queries that probe its cell.
     """
-    comps = _components(queries).filter(F.col("component") == 0)
-    probes = _nearest_cells(cells, comps, n_probe).withColumn("cell_id", F.explode("cell_ids")).drop("cell_ids")
+    comps = _components(queries)
+    visits = _nearest_cells(cells, comps, n_probe).select("query_id", F.explode("cell_ids").alias("cell_id")).distinct()
+    probes = visits.join(comps, "query_id")
     probes = stage(probes, "probes")
     # At most one id per cell, and cells are capped: on a table partitioned by cell, other folders are not read.
     probed = [r["cell_id"] for r in probes.select("cell_id").distinct().collect()]
@@ -372,5 +378,5 @@ def approx_top_k(
     group = ["cell_id", "_q", "_f"]
     hits = left.drop("_frame_blocks", "_query_blocks").groupBy(*group).cogroup(
         right.drop("_frame_blocks", "_query_blocks").groupBy(*group)
-    ).applyInArrow(_cell_scorer(k, 0.0, "max", 1.0), HIT_SCHEMA)
+    ).applyInArrow(_cell_scorer(k, 0.0, method, boost), HIT_SCHEMA)
     return _rank(hits, k)

@@ -232,19 +232,23 @@ def dedup_greedy(
 
     Each run starts from the hash its predecessor run ended with. Runs of a hot
     video first start from nothing; runs whose true entry differs are repeated
-    until no entry changes, so the outcome equals the sequential rule.
+    until no entry changes, so the outcome equals the sequential rule. A frame without
+    a hash is kept and leaves the last kept hash as it is.
     """
-    groups = ordered_groups(frames, ["video_id"], order, limit)
+    # Hashes travel as text: a null would turn the 64-bit integers into floats.
+    texts = frames.withColumn("_hash", F.col("phash").cast("string"))
+    groups = ordered_groups(texts, ["video_id"], order, limit)
     keys = ["video_id", CHUNK]
     out_schema = T.StructType([*frames.schema.fields, T.StructField("kept", T.BooleanType())])
-    run_schema = T.StructType([*out_schema.fields, T.StructField(CHUNK, T.IntegerType())])
+    run_schema = T.StructType([*texts.schema.fields, T.StructField("kept", T.BooleanType()), T.StructField(CHUNK, T.IntegerType())])
 
     def run(rows: pd.DataFrame, entry: int | None) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
         last, flags = entry, []
-        for h in rows["phash"].tolist():
-            keep = last is None or ((h ^ last) & 0xFFFFFFFFFFFFFFFF).bit_count() > max_hamming
-            last = h if keep else last
+        for text in rows["_hash"].tolist():
+            h = None if text is None else int(text)
+            keep = h is None or last is None or ((h ^ last) & 0xFFFFFFFFFFFFFFFF).bit_count() > max_hamming
+            last = h if keep and h is not None else last
             flags.append(keep)
         return rows.assign(kept=flags)
 
@@ -269,7 +273,7 @@ def dedup_greedy(
         if done is not None:
             redone = done.join(F.broadcast(todo.select(*keys)), keys, "left_anti").unionByName(redone)
         done = stage(redone, "runs")
-        last = F.max_by(F.col("phash"), F.when(F.col("kept"), F.struct(*order))).alias("last")
+        last = F.max_by(F.col("phash"), F.when(F.col("kept") & F.col("phash").isNotNull(), F.struct(*order))).alias("last")
         ends = done.groupBy(*keys).agg(last)
         along = Window.partitionBy("video_id").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         true_entry = F.last("last", ignorenulls=True).over(along).cast("string")

@@ -77,7 +77,8 @@ def project_results(ranked: DataFrame, media: DataFrame, frames: DataFrame, p: S
         "video_id", F.col("filename").alias("video_name"), F.col("duration_seconds").alias("duration"),
         "width", "height", "uploaded_at",
     )
-    joined = ranked.join(facts, "video_id")
+    # A frame whose media row is missing stays a result; its name falls back to the id.
+    joined = ranked.join(facts, "video_id", "left").withColumn("video_name", F.coalesce("video_name", "video_id"))
     traced = ranking.with_trace(joined, stamps)
     described = context.with_text(
         context.with_context(traced, frames, p.context_window_s, p.context_bins, p.context_segment)
@@ -103,9 +104,13 @@ def search_moments(
 
     ``fast``: retrieval and grouping. ``accurate``: expansion, fine search where
     ``fine_vectors`` are given, deterministic rerank, and an external
-    ``permutation`` where valid. ``metadata`` mode is :func:`search_metadata`.
+    ``permutation`` where valid, which takes the place of relevance in sorting. Where the
+    vectors carry model stamps and ``stamps`` are given, foreign vectors are refused.
+    ``metadata`` mode is :func:`search_metadata`.
     """
     accurate = mode == "accurate"
+    if stamps is not None and set(ranking.STAMP_COLUMNS) <= set(vectors.columns) & set(stamps):
+        vectors = ranking.require_compatible(vectors, stamps, p.allow_model_mismatch)
     comps = query_vectors(queries, dim, expand=accurate)
     found = moments(candidates(vectors, comps, media, p), p).withColumn("retrieval_stage", F.lit("coarse"))
     if accurate and p.fine_search and fine_vectors is not None:
@@ -118,16 +123,20 @@ def search_moments(
     else:
         found = found.withColumn("final_score", F.col("score"))
     if permutation is not None:
-        found = ranking.accept_permutation(found, permutation)
+        # Ranks without gaps first, so that an unused permutation leaves the plain order.
+        found = ranking.order_results(found.drop("rank"))
+        found = ranking.accept_permutation(found, permutation).drop("rank")
     if p.sort_by == "upload_date":
         found = found.join(media.select("video_id", "uploaded_at"), "video_id")
-    if permutation is not None:
-        ranked = found.withColumn("rank", F.col("final_rank")).filter(F.col("rank") <= p.final_results)
-    else:
-        ranked = ranking.order_results(found, p.sort_by, p.sort_order, p.final_results)
+    ranked = ranking.order_results(found, p.sort_by, p.sort_order, p.final_results)
     ranked = ranked.drop("uploaded_at") if "uploaded_at" in ranked.columns else ranked
     named = ranked.join(ranking.guard_queries(queries).select("query_id", "query"), "query_id")
-    return project_results(named, media, vectors, p, stamps or {})
+    frames = vectors
+    if accurate and p.fine_search and fine_vectors is not None:
+        # A fine match is shown among fine frames; coarse ones fill in where there are none.
+        columns = ["frame_id", "video_id", "timestamp"]
+        frames = vectors.select(*columns).unionByName(fine_vectors.select(*columns)).dropDuplicates(["frame_id"])
+    return project_results(named, media, frames, p, stamps or {})
 
 
 def search_metadata(media: DataFrame, text: str, p: SearchParams = SearchParams()) -> DataFrame:

@@ -95,6 +95,7 @@ class SearchParams:
     fine_max_events: int = 10
     fine_max_seconds: float = 160.0
     fine_max_frames: int = 500
+    allow_model_mismatch: bool = False
     rerank: "RerankWeights" = field(default_factory=lambda: RerankWeights())
 
 

@@ -28,34 +28,44 @@ def read_log(
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> tuple[DataFrame, list[dict]]:
-    """Process what is available; return the result table and the progress reports.
+def drain(stream: DataFrame, mode: str, name: str, folder: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """Process what is available; return the result table and this run's progress reports.
 
     ``complete`` results are the last batch's table, ``append`` and ``update``
-    results are all batches together.
+    results are all batches together. A call with the ``folder`` of an earlier one
+    goes on where that stopped, and its result includes the earlier batches.
+    Reports are gathered batch by batch: the engine itself forgets all but the last.
     """
     spark = stream.sparkSession
-    out = new_path(spark, name)
-    batches: list[int] = []
+    folder = folder or new_path(spark, name)
+    out = f"{folder}/out"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    reports: dict[int, dict] = {}
+    running: list = []
+
+    def note(found) -> None:
+        reports.update((p["batchId"], dict(p)) for p in found if p is not None)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        batches.append(batch_id)
+        if running:
+            note([running[0].lastProgress])
 
     query = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", new_path(spark, f"{name}-progress"))
+        .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .foreachBatch(write)
         .start()
     )
+    running.append(query)
     query.awaitTermination()
-    progress = [dict(p) for p in query.recentProgress]
-    if not batches:
-        return spark.createDataFrame([], stream.schema), progress
+    note(query.recentProgress)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    table = spark.read.schema(schema).parquet(out)
     if mode == "complete":
-        return spark.read.schema(stream.schema).parquet(f"{out}/batch={max(batches)}"), progress
-    return spark.read.schema(stream.schema).parquet(*[f"{out}/batch={b}" for b in sorted(set(batches))]), progress
+        table = table.filter(F.col("batch") == (table.agg(F.max("batch")).first()[0] or 0))
+    return table.drop("batch"), [reports[n] for n in sorted(reports)]
 
 
 def latest_status(log: DataFrame) -> DataFrame:
@@ -126,11 +136,12 @@ def transition_stream(log: DataFrame, limit: int | None = None, base: str | None
     return spark.read.schema(result).parquet(f"{base}/invalid").select(*result.fieldNames())
 
 
-def index_stream(frames: DataFrame, embed, table_path: str, key: str = "frame_id") -> None:
+def index_stream(frames: DataFrame, embed, table_path: str, key: str = "frame_id", folder: str | None = None) -> None:
     """Embed newly arrived frames and append those whose key is not indexed yet.
 
     ``embed`` maps a frame DataFrame to index rows. Keys are deterministic, so
-    replaying the same input, or retrying a batch, adds nothing twice.
+    replaying the same input, or retrying a batch, adds nothing twice. A call with
+    the ``folder`` of an earlier one reads only what has arrived since.
     """
     spark = frames.sparkSession
     schema = embed(frames).schema
@@ -142,7 +153,7 @@ def index_stream(frames: DataFrame, embed, table_path: str, key: str = "frame_id
         embed(new).write.mode("append").parquet(table_path)
 
     query = (
-        frames.writeStream.option("checkpointLocation", new_path(spark, "index-progress"))
+        frames.writeStream.option("checkpointLocation", folder or new_path(spark, "index-progress"))
         .trigger(availableNow=True)
         .foreachBatch(add)
         .start()
