@@ -236,7 +236,7 @@ def dedup_greedy(
     a hash is kept and leaves the last kept hash as it is.
     """
     # Hashes travel as text: a null would turn the 64-bit integers into floats.
-    texts = frames.withColumn("_hash", F.col("phash").cast("string"))
+    texts = frames.withColumn("_hash", F.col("phash").cast("string")).drop("phash")
     groups = ordered_groups(texts, ["video_id"], order, limit)
     keys = ["video_id", CHUNK]
     out_schema = T.StructType([*frames.schema.fields, T.StructField("kept", T.BooleanType())])
@@ -252,9 +252,10 @@ def dedup_greedy(
             flags.append(keep)
         return rows.assign(kept=flags)
 
+    hashed = F.col("_hash").cast(frames.schema["phash"].dataType)
     if not groups.split:
         tagged = groups.df.groupBy(*keys).applyInPandas(lambda rows: run(rows, None), run_schema)
-        return tagged.select(*out_schema.fieldNames())
+        return tagged.withColumn("phash", hashed).select(*out_schema.fieldNames())
 
     def resume(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or entries.empty:
@@ -273,7 +274,7 @@ def dedup_greedy(
         if done is not None:
             redone = done.join(F.broadcast(todo.select(*keys)), keys, "left_anti").unionByName(redone)
         done = stage(redone, "runs")
-        last = F.max_by(F.col("phash"), F.when(F.col("kept") & F.col("phash").isNotNull(), F.struct(*order))).alias("last")
+        last = F.max_by(F.col("_hash"), F.when(F.col("kept") & F.col("_hash").isNotNull(), F.struct(*order))).alias("last")
         ends = done.groupBy(*keys).agg(last)
         along = Window.partitionBy("video_id").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         true_entry = F.last("last", ignorenulls=True).over(along).cast("string")
@@ -283,7 +284,7 @@ def dedup_greedy(
             fresh.join(old, keys).filter(~F.col("entry").eqNullSafe(F.col("_old"))).select(*keys, "entry"), "entries"
         )
         entries = stage(fresh, "entries")
-    return cold.unionByName(done).select(*out_schema.fieldNames())
+    return cold.unionByName(done).withColumn("phash", hashed).select(*out_schema.fieldNames())
 
 
 def content_copies(files: DataFrame, id_col: str, content: str, limit: int | None = None) -> DataFrame:
