@@ -76,6 +76,7 @@ def _named(spark, d):
     return table(spark, d, "part").select(key, name.alias("filename"), sent.alias("mime"))
 
 
+# The extensions by kind.
 @query(
     "p12_media_kind",
     f"""with {NAMED}, e as (select *, lower(case when contains(filename, '.') then regexp_extract(filename, '(\\.[^.]*)$', 1) else right(filename, 1) end) ext from named)
@@ -92,6 +93,7 @@ def p12(spark, d):
     )
 
 
+# Role and status names.
 USERS = """users as (
   select c_custkey uid, lower(c_name) || '@example.org' email,
          case c_mktsegment when 'MACHINERY' then 'ADMIN' when 'BUILDING' then 'VIDEO_EDITOR' else 'SEARCHER' end as role,

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DASH = "—"
+# Fixed value: the rule of an evidence block.
 RULE = "-" * 40
 BYTE_UNITS = ("B", "KB", "MB", "GB", "TB")
 
@@ -329,6 +330,7 @@ def result_json() -> Column:
     )
 
 
+# Fixed value: the header of an export.
 CSV_HEADER = "query,media,media_type,timestamp,start,end,score,reason"
 
 

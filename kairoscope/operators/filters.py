@@ -17,6 +17,7 @@ VIDEO_EXTENSIONS = (
 METADATA_COLUMNS = ("filename", "media_type", "codec", "container")
 ACTIVE_JOB = ("queued", "running", "cancelling")
 SETTLED_MEDIA = ("ready", "failed", "cancelled")
+# Fixed value: what an id may consist of.
 ID_PATTERN = r"^[A-Za-z0-9._-]+$"
 QUICK_RANGES = {"today": 0, "7d": 7, "30d": 30, "all": None}
 

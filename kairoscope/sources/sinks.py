@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-CONTEXT_COLUMNS = (
-    "query", "video_id", "filename", "media_type", "timestamp_seconds", "timestamp_hms", "context_start",
-    "context_end", "score", "frame_id", "context_text", "context_frames", "reason",
-)
-
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
