@@ -46,17 +46,26 @@ def components(links: DataFrame) -> DataFrame:
 
 
 #: How many times more members of a bucket are compared with the rest in each further round.
-WIDEN = 8
+WIDEN = 64
+
+
+Test = Callable[[Column, Column], Column]
 
 
 def linked(
-    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], admit: Callable[[Column, Column], Column] | None = None
+    shared: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    admit: Test | None = None,
+    facts: Callable[[DataFrame], DataFrame] | None = None,
+    bound: Test | None = None,
 ) -> DataFrame:
     """(node, root) of the classes that verified links make among nodes sharing buckets.
 
     ``shared`` holds (bucket, c, size) with the number of nodes in the bucket and any
     columns that ``admit``, a cheap test of two members, reads from its two structs;
-    ``verify`` returns those of the pairs (a, b) that are linked.
+    ``verify`` returns those of the pairs (a, b) that are linked. ``facts`` may compute
+    columns of the members (c) still open after the first round, from which ``bound`` tells
+    pairs that can't be linked without a comparison.
 
     No bucket is expanded into all pairs from the start. First the most popular member,
     the one in most and largest buckets, is compared with the rest of its bucket. A
@@ -64,21 +73,24 @@ def linked(
     members in each round, picked by a hash, are compared with the members of other
     components, until all of them have been: a pair is left out only when both sides
     are in one component already, so no component can differ from that of all pairs.
+    A pair that shares several buckets is taken up in the smallest of them only; a node
+    carries the list of its buckets, of which there are as many as the caller places.
     """
     extra = [c for c in shared.columns if c not in ("bucket", "c", "size")]
     popular = shared.groupBy("c").agg(F.sum(F.log2("size")).alias("popular"))
     leader = F.max_by(F.struct("c", *extra), F.struct("popular", "c"))
     leaders = shared.join(popular, "c").groupBy("bucket").agg(leader.alias("lead"))
-    mine = F.struct("c", *extra)
 
-    def pairs_of(joined: DataFrame) -> DataFrame:
+    def pairs_of(joined: DataFrame, tests: list[Test | None], columns: list[str]) -> DataFrame:
         joined = joined.filter(F.col("lead.c") != F.col("c"))
-        if admit is not None:
-            joined = joined.filter(admit(F.col("lead"), mine))
+        for test in tests:
+            if test is not None:
+                joined = joined.filter(test(F.col("lead"), F.struct("c", *columns)))
         return joined.select(F.least("lead.c", "c").alias("a"), F.greatest("lead.c", "c").alias("b")).distinct()
 
-    found = components(stage(verify(pairs_of(shared.join(leaders, "bucket"))), "verified"))
-    members, share = shared, 1
+    found = components(stage(verify(pairs_of(shared.join(leaders, "bucket"), [admit], extra)), "verified"))
+    members, shares = shared, []
+    led_by = lambda share: F.pmod(F.xxhash64("c"), F.greatest(F.lit(1), F.floor(F.col("size") / share))) == 0
     while True:
         members = members.drop("root").join(found.withColumnRenamed("node", "c"), "c", "left")
         members = members.withColumn("root", F.coalesce("root", "c"))
@@ -86,11 +98,25 @@ def linked(
         members = stage(members.join(mixed.select("bucket"), "bucket"), "members")
         if members.isEmpty():
             return found
-        share *= WIDEN
+        if not shares:
+            open_ = members.select("c").distinct()
+            known = shared.join(open_, "c").groupBy("c").agg(F.collect_list("bucket").alias("homes"))
+            if facts is not None:
+                known = known.join(facts(open_), "c")
+            extra += [c for c in known.columns if c != "c"]
+            members = stage(members.join(known, "c"), "members")
         # About ``share`` members of a bucket lead; all of them in buckets of less than twice that size.
-        chosen = F.pmod(F.xxhash64("c", "bucket"), F.greatest(F.lit(1), F.floor(F.col("size") / share))) == 0
-        lead = members.filter(chosen).select("bucket", F.struct("c", *extra).alias("lead"), F.col("root").alias("lead_root"))
-        joined = members.join(lead, (members["bucket"] == lead["bucket"]) & (members["root"] != lead["lead_root"])).drop(lead["bucket"])
-        known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = components(stage(verify(pairs_of(joined)).unionByName(known), "verified"))
-        members = members.filter(F.floor(F.col("size") / share) > 1)
+        # Who led in an earlier round has been compared with all members of the bucket.
+        fresh = members
+        for share in shares:
+            fresh = fresh.filter(~led_by(share))
+        shares.append(WIDEN * (shares[-1] if shares else 1))
+        marked = fresh.withColumn("leads", led_by(shares[-1]))
+        lead = marked.filter("leads").select(F.col("bucket").alias("place"), F.struct("c", *extra).alias("lead"), F.col("root").alias("lead_root"))
+        once = ~F.col("leads") | (F.col("lead.c") < F.col("c"))
+        first_home = F.array_min(F.array_intersect("lead.homes", "homes")) == F.col("bucket")
+        joined = marked.join(lead, F.col("bucket") == F.col("place")).filter((F.col("root") != F.col("lead_root")) & once & first_home)
+        new = stage(verify(pairs_of(joined, [admit, bound], extra)), "verified")
+        if not new.isEmpty():
+            found = components(new.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        members = members.filter(F.floor(F.col("size") / shares[-1]) > 1)

@@ -18,7 +18,8 @@ node. In each bucket the most popular node, which shares most buckets with most
 is compared with the rest; buckets that are one component then are done. In what is
 left more and more members of each bucket, chosen by a hash, are compared with the
 members of other components, until every pair across components has been compared or
-the bucket is one component. So no link between different texts is lost, and work is
+the bucket is one component; a pair is passed over without a comparison only when the
+shingles that no other open document has already rule the similarity out. So no link between different texts is lost, and work is
 spent only on pairs that may still join components. All steps are joins and grouped
 aggregates over narrow tables in the shared folder; nothing is collected.
 
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +190,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_compare, "a binary, b binary")
 
 
+def _own_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(c, total, own): shingles of each node, and those that no other of the nodes has."""
+    each = sets.join(nodes, "c").dropDuplicates(["c"]).select("c", F.explode("elements").alias("element"))
+    one = each.groupBy("element").agg(F.count("*").alias("n"), F.first("c").alias("c"))
+    own = one.filter("n = 1").groupBy("c").agg(F.count("*").alias("own"))
+    total = sets.groupBy("c").agg(F.max(F.size("elements")).alias("total"))
+    return nodes.join(total, "c").join(own, "c", "left").select("c", "total", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _may_be_similar(x: Column, y: Column) -> Column:
+    """Whether two sets can reach the similarity: what only one of them has is never shared."""
+    common = F.least(x["total"] - x["own"], y["total"] - y["own"])
+    union = F.greatest(x["total"] + y["own"], y["total"] + x["own"])
+    return common >= SIMILARITY * union - 1e-9
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: the key under its name, ``class_key`` (the smallest key of
     its class), ``class_size`` in rows and ``class_texts`` in different texts."""
@@ -210,7 +227,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     elements = T.StructField("elements", T.ArrayType(T.LongType()))
     sets = stage(asked.mapInArrow(_sets, T.StructType([asked.schema["c"], elements])), "sets")
 
-    found = linked(shared, lambda pairs: _verified(pairs, sets))
+    found = linked(shared, lambda pairs: _verified(pairs, sets), facts=lambda open_: _own_shingles(sets, open_), bound=_may_be_similar)
     classes = contents.select("c", "least", "copies").join(found.withColumnRenamed("node", "c"), "c", "left")
     classes = stage(classes.select("c", "least", "copies", F.coalesce("root", "c").alias("root")), "classes")
     heads = classes.groupBy("root").agg(
