@@ -120,14 +120,16 @@ def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RUL
     ruled = ruled.withColumns({"rule": _first(rules, host, path, 1), "_ruled": _first(rules, host, path, 0)})
     rest = F.regexp_replace(F.coalesce("_url", F.lit("")), r"(?s)^.*?://", "")
     rows = stage(ruled.withColumns({"_rest": rest, "_row": F.monotonically_increasing_id()}), "urls")
+    # Outer explosions below: an inner one adds a filter on the array's size, which would be
+    # moved under its computation and repeat it for every element. No array is empty.
     rows = _coded(rows, "_rest").drop("_rest")
-    grams = rows.select("_ruled", F.explode("_grams").alias("code")).groupBy(F.col("code").cast("long").alias("code")).agg(
+    grams = rows.select("_ruled", F.explode_outer("_grams").alias("code")).groupBy(F.col("code").cast("long").alias("code")).agg(
         F.sum((F.coalesce("_ruled", F.lit("")) == "allow").cast("long")).alias("allowed"),
         F.sum((F.coalesce("_ruled", F.lit("")) == "block").cast("long")).alias("blocked"),
     )
     model = weights(grams)
     columns = [f"`{c}`" for c in ruled.columns if c != "_url"]
-    read = rows.select("_row", F.explode("_grams").alias("code")).join(F.broadcast(model), "code")
+    read = rows.select("_row", F.explode_outer("_grams").alias("code")).join(F.broadcast(model), "code")
     # The grams of a row stay together in its task, so one row for each URL is shuffled.
     scores = read.groupBy("_row").agg(F.avg("weight").alias("score"))
     scored = stage(rows.select("_row", *columns).join(scores, "_row").drop("_row"), "scored")
