@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``. All stages but the last return
-the columns of documents. Stages that drop rows identify them by their place in the
-files they read, so repeated rows and null ids are told apart.
+the columns of documents. Stages that drop rows number them in a table written first,
+so repeated rows and null ids are told apart.
 """
 
 from __future__ import annotations
@@ -21,15 +21,15 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows with their place in the files read: the same whenever the same files are read."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+    """Rows and their numbers, written once: another scan may be split, and so numbered, otherwise."""
+    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows numbered in ``dropped``."""
+def _without(numbered: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``numbered`` that are not in ``dropped``, without their numbers."""
     dropped = stage(dropped.select("_row"), "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    return _numbered(docs).join(dropped, "_row", "left_anti").select(*docs.columns)
+    return numbered.join(dropped, "_row", "left_anti").drop("_row")
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,15 +52,17 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     prepare(spark)
-    found = exact_dedup.exact_dedup(_numbered(docs).select("_row", "text"), key="_row")
-    return _without(docs, found.filter(~F.col("kept")))
+    numbered = _numbered(docs)
+    found = exact_dedup.exact_dedup(numbered.select("_row", "text"), key="_row")
+    return _without(numbered, found.filter(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     prepare(spark)
-    found = minhash.near_classes(_numbered(docs).select("_row", "text"), key="_row")
-    return _without(docs, found.filter("_row != class_key"))
+    numbered = _numbered(docs)
+    found = minhash.near_classes(numbered.select("_row", "text"), key="_row")
+    return _without(numbered, found.filter("_row != class_key"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
