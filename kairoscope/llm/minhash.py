@@ -8,10 +8,15 @@ than the latest place of its document (early termination), so a document of ``n`
 shingles costs about ``n`` plus the arrivals that fill the signature. Two signatures
 agree in a place with the probability Jaccard similarity of the weighted shingles.
 
+With all weights one they agree with the Jaccard similarity of the shingle sets.
+
 Signatures are cut into ``BANDS`` bands of ``ROWS`` places; documents that agree in a
-band are candidates, found with probability 0.997 at similarity 0.8 and 0.9999 at 0.85.
-Candidates count as linked when the Jaccard similarity of their shingle sets is at
-least ``SIMILARITY``, computed exactly. Classes are the connected components.
+band are candidates. A document that repeats shingles has the bands of two signatures,
+one by weights and one with all weights one; without repeats both are the same. So any
+two documents are candidates with probability 0.997 at a similarity of their shingle
+sets of 0.8 and 0.9999 at 0.85, whatever they repeat. Candidates count as linked when
+that similarity, computed exactly, is at least ``SIMILARITY``. Classes are the
+connected components.
 
 No group of candidates is expanded into all pairs. Documents of equal words are one
 node. In each bucket the most popular node, which shares most buckets with most others,
@@ -19,8 +24,9 @@ is compared with the rest; buckets that are one component then are done. In what
 left more and more members of each bucket, chosen by a hash, are compared with the
 members of other components, until every pair across components has been compared or
 the bucket is one component; a pair is passed over without a comparison only when the
-shingles that no other open document has already rule the similarity out. So no link between different texts is lost, and work is
-spent only on pairs that may still join components. All steps are joins and grouped
+shingles that no other open document has already rule the similarity out. So no link
+between candidates is lost, and work is spent only on pairs that may still join
+components. All steps are joins and grouped
 aggregates over narrow tables in the shared folder; nothing is collected.
 
 Words are split at ``[\\x20\\x09-\\x0D]+``. A text of one to four words is one shingle.
@@ -123,6 +129,20 @@ def band_keys(kept: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bands(hashed: np.ndarray, doc: np.ndarray, count: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of all documents, one after the other, and where each document's begin.
+
+    Keys of the signature with all weights one follow where they differ from those by counts.
+    """
+    weighted = band_keys(signatures(hashed, doc, count.astype(float), docs))
+    plain = weighted.copy()
+    repeats = np.flatnonzero(np.bincount(doc, count > 1, docs))
+    own = np.isin(doc, repeats)
+    plain[repeats] = band_keys(signatures(hashed[own], np.searchsorted(repeats, doc[own]), np.ones(own.sum()), len(repeats)))
+    keep = np.concatenate([np.ones(weighted.shape, bool), plain != weighted], axis=1)
+    return np.concatenate([weighted, plain], axis=1)[keep], np.append(0, np.cumsum(keep.sum(axis=1)))
+
+
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Groups of rows of a list column with a bounded number of words."""
     offsets = column.offsets.to_numpy().astype(np.int64)
@@ -138,9 +158,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, words, offsets in _words(batch.column(batch.num_columns - 1)):
             hashed, doc, count = shingles(words, offsets)
-            keys = band_keys(signatures(hashed, doc, count.astype(float), high - low))
-            flat = pa.array(keys.reshape(-1), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
+            keys, bounds = bands(hashed, doc, count, high - low)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys, pa.int64()))
             columns = [batch.column(n).slice(low, high - low) for n in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, lists], [*batch.schema.names[:-1], "bands"])
 
@@ -211,8 +230,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     its class), ``class_size`` in rows and ``class_texts`` in different texts."""
     texts = _texts(docs, key, text)
     rows = _hashed(texts, "key", "c")
-    bands = T.StructField("bands", T.ArrayType(T.LongType()))
-    sketched = stage(rows.mapInArrow(_sketch, T.StructType([*rows.schema.fields[:-1], bands])), "sketches")
+    keys = T.StructField("bands", T.ArrayType(T.LongType()))
+    sketched = stage(rows.mapInArrow(_sketch, T.StructType([*rows.schema.fields[:-1], keys])), "sketches")
     contents = sketched.filter("c is not null").groupBy("c")
     contents = stage(contents.agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "contents")
     placed = contents.select("c", F.explode("bands").alias("bucket"))
