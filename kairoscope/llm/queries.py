@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..staging import new_path, stage
-from . import bpe, chat, line_dedup, minhash, packing, quality_classifier, quality_rules, token_rollup, url_filter
+from . import bpe, chat, fingerprint, line_dedup, minhash, packing, quality_classifier, quality_rules, token_rollup, url_filter
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
 
@@ -132,3 +132,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.apply(counted.withColumn("action", F.lit("revise")), "count")
     rollup.apply(counted.filter("n_tokens = 0").withColumn("action", F.lit("delete")), "drop-empty")
     return rollup.totals()
+
+
+@query("op13_document_fingerprints")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return fingerprint.compare_with_next(docs)
