@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..staging import new_path, stage
-from . import bpe, chat, conversation_trie, fingerprint, line_dedup, minhash, packing, quality_classifier, quality_rules, token_rollup, url_filter
+from . import bpe, chat, collocations, conversation_trie, fingerprint, line_dedup, minhash, packing, quality_classifier, quality_rules, token_rollup, url_filter
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
 
@@ -144,3 +144,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return conversation_trie.build(conversation_trie.rebuilt(conversations))
+
+
+@query("op11_phrase_collocations", collocations.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text"))
