@@ -15,7 +15,7 @@ Texts are cut into words twice, once to count the words and once to write them a
 that no frequent word shares its id is checked, otherwise another seed is taken. Every level
 is a pass over these ids: tasks sum their own counts of ``(prefix, last word)`` and send
 only sums. Which words are in the frontier and which phrases are frequent is told to the
-tasks by bitmaps of a fixed size; a wrong positive only counts a phrase that is then found
+tasks by bitmaps of a bounded size; a wrong positive only counts a phrase that is then found
 rare, or for nothing. A phrase lies inside a longer candidate of the same count if all its
 occurrences have the same left, or the same right, neighbour.
 
@@ -44,7 +44,8 @@ LONGEST = 5
 TOP = 2000
 #: The first frontier holds the rarest words, up to this share of a language's words.
 FIRST_SHARE = 0.125
-#: Words of a bitmap, 64 bits each: 8 MB, whatever the data.
+#: Bits of a bitmap for each number in it, and most slots of 64 bits: 8 MB, whatever the data.
+BITS = 32
 SLOTS = 1 << 20
 #: Positions of the coded texts handled at a time.
 CHUNK = 2_000_000
@@ -83,7 +84,7 @@ class Ids(dict):
 
     def __missing__(self, word: bytes) -> int:
         n = word_id(self.seed, self.lang, word)
-        if not int(self.frequent[(n >> 6) & (SLOTS - 1)]) >> (n & 63) & 1:
+        if not int(self.frequent[(n >> 6) & (len(self.frequent) - 1)]) >> (n & 63) & 1:
             n = 0
         if len(self) > KNOWN_WORDS:
             self.clear()
@@ -136,16 +137,17 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def bitmap(table: DataFrame, column: str) -> np.ndarray:
-    """A fixed number of bits, those of the column's values set."""
-    slot = F.expr(f"shiftright({column}, 6) & {SLOTS - 1}L").alias("slot")
+    """A bounded number of bits, those of the column's values set."""
+    slots = 1 << min((table.count() * BITS // 64).bit_length(), SLOTS.bit_length() - 1)
+    slot = F.expr(f"shiftright({column}, 6) & {slots - 1}L").alias("slot")
     found = table.groupBy(slot).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(SLOTS, np.uint64)
+    bits = np.zeros(slots, np.uint64)
     bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return bits
 
 
 def has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = (values >> np.uint64(6)) & np.uint64(SLOTS - 1)
+    place = (values >> np.uint64(6)) & np.uint64(len(bits) - 1)
     return (bits[place] >> (values & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -394,7 +396,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", share:
 ORACLE = r"""
 with texts as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
 pieces as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) p from texts),
-lists as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), x -> x <> '') w from pieces),
+lists as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') w from pieces),
 spans as (select lang, w, unnest(range(1, len(w) + 1)) i from lists),
 grams as (select lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') g from spans, range(1, 6) t(k) where i + k - 1 <= len(w)),
 f as (select lang, k::int k, g, count(*)::hugeint c from grams group by all having count(*) >= 100),
