@@ -48,7 +48,7 @@ FIRST_SHARE = 0.125
 BITS = 32
 SLOTS = 1 << 20
 #: Positions of the coded texts handled at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Different words a task remembers at a time.
 KNOWN_WORDS = 500_000
 #: Coded words in a row.

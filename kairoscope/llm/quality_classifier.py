@@ -14,8 +14,9 @@ Scoring covers every document where it is read, without a shuffle.
 
 A null text counts as empty; empty texts are scored like others. Null labels, null
 keys and contradicting labels are left out of the sample. Without texts of both classes
-nothing can be told apart and every score is 1. Repeated rows get equal scores, and
-result columns replace columns of the same name.
+nothing can be told apart and every score is 1. Repeated rows get equal scores; very long
+texts are compressed whole, block by block; an empty table gives no rows. Result columns
+replace columns of the same name, other columns are passed through whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ SAMPLE_BYTES = 6 << 20
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 BLOCK_BYTES = 2048
+#: Texts are handled in groups of about so many bytes, whatever the batch holds.
+GROUP_BYTES = 2 << 20
 #: Added to sizes, so that a few bytes of text say little.
 SLACK = 16.0
 THRESHOLD = 0.7
@@ -139,20 +143,46 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(*built, *calibrate(x, y))
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted``."""
-    kept = [c for c in docs.columns if c.lower() not in {"score", "predicted"}]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+def free_name(wanted: str, columns: list[str]) -> str:
+    """The name, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def _groups(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive texts with about ``GROUP_BYTES`` together."""
+    upto = np.cumsum(lengths) // GROUP_BYTES
+    starts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(lengths)]
+    return zip(starts[:-1], starts[1:], strict=True)
+
+
+def score(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with the score (0 to 1) and the prediction, under ``names``.
+
+    A text crosses to Python once and goes back as it came; the batch is cut by bytes,
+    so only a few texts are Python strings at a time.
+    """
+    taken = {n.lower() for n in names}
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept])
+    own = text in kept and isinstance(docs.schema[text].dataType, T.StringType)
+    if not own:
+        source = docs.select(*source.columns, F.col(f"`{text}`").cast("string").alias(free_name("body", kept)))
+    place = kept.index(text) if own else len(kept)
+    schema = T.StructType([*source.schema.fields[: len(kept)], T.StructField(names[0], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model.good, model.bad)
         for batch in batches:
-            rows = [sizes.of(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            z = (features(np.array(rows, dtype=np.int64)) - model.mean) / model.scale
-            found = 1 / (1 + np.exp(-np.clip(z @ model.weights, -30, 30)))
-            columns = [batch.column(n) for n in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], schema.names)
-
-    scored = source.mapInArrow(run, schema) if model else source.drop("_text").withColumn("score", F.lit(1.0))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+            lengths = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+            for low, high in _groups(lengths):
+                part = batch.slice(low, high - low)
+                rows = [sizes.of(x) for x in part.column(place).to_pylist()]
+                z = (features(np.array(rows, dtype=np.int64)) - model.mean) / model.scale
+                found = 1 / (1 + np.exp(-np.clip(z @ model.weights, -30, 30)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(found, pa.float64())], schema.names)
+
+    scored = source.mapInArrow(run, schema) if model else source.select(*[F.col(f"`{c}`") for c in kept]).withColumn(names[0], F.lit(1.0))
+    return scored.withColumn(names[1], (F.col(names[0]) >= THRESHOLD).cast("int"))
