@@ -2,8 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``. All stages but the last return
-the columns of documents. Stages that drop rows number them in a table written first,
-so repeated rows and null ids are told apart.
+the columns of documents, further ones included, whatever their names. Stages that drop
+rows number them in a table written first, so repeated rows and null ids are told apart.
+Null and empty texts are judged like others and fall to the base rules; very long texts
+are worked on whole; an empty table gives no sequences. Without labels of both classes
+the classifier accepts everything and no cutoff is certified.
 """
 
 from __future__ import annotations
@@ -20,16 +23,18 @@ from kairoscope.staging import stage
 BROADCAST_ROWS = 1_000_000
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows and their numbers, written once: another scan may be split, and so numbered, otherwise."""
-    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows and their numbers, written once: another scan may be split, and so numbered,
+    otherwise. The number's name is one that no column has."""
+    row = quality_classifier.free_name("_row", docs.columns)
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def _without(numbered: DataFrame, dropped: DataFrame) -> DataFrame:
+def _without(numbered: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
     """The rows of ``numbered`` that are not in ``dropped``, without their numbers."""
-    dropped = stage(dropped.select("_row"), "dropped")
+    dropped = stage(dropped.select(row), "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    return numbered.join(dropped, "_row", "left_anti").drop("_row")
+    return numbered.join(dropped, row, "left_anti").drop(row)
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,32 +42,35 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(quality_classifier.remainder() != 2)
     model = quality_classifier.fit(docs, labels)
-    scored = quality_classifier.score(docs.withColumn("_scored", F.col("text")), model, "_scored")
-    return scored.filter("predicted = 1").select(*docs.columns)
+    score = quality_classifier.free_name("score", docs.columns)
+    predicted = quality_classifier.free_name("predicted", docs.columns)
+    scored = quality_classifier.score(docs, model, names=(score, predicted))
+    return scored.filter(F.col(predicted) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the certified cutoffs."""
+    """Documents that pass the base rules and the certified cutoffs; texts are counted once."""
     prepare(spark)
-    measured = quality_rules.measure(docs)
+    numbered, row = _numbered(docs)
+    measured = stage(quality_rules.measure(numbered.select(row, "doc_id", "lang", "text")).drop("text"), "measured")
     cutoffs = stage(quality_rules.certify(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")), "cutoffs")
-    return quality_rules.judge(measured, cutoffs).filter("kept").select(*docs.columns)
+    return _without(numbered, row, quality_rules.judge(measured, cutoffs).filter("not kept"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     prepare(spark)
-    numbered = _numbered(docs)
-    found = exact_dedup.exact_dedup(numbered.select("_row", "text"), key="_row")
-    return _without(numbered, found.filter(~F.col("kept")))
+    numbered, row = _numbered(docs)
+    found = exact_dedup.exact_dedup(numbered.select(row, "text"), key=row)
+    return _without(numbered, row, found.filter(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     prepare(spark)
-    numbered = _numbered(docs)
-    found = minhash.near_classes(numbered.select("_row", "text"), key="_row")
-    return _without(numbered, found.filter("_row != class_key"))
+    numbered, row = _numbered(docs)
+    found = minhash.near_classes(numbered.select(row, "text"), key=row)
+    return _without(numbered, row, found.filter(F.col(row) != F.col("class_key")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
