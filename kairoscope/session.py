@@ -40,6 +40,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     # Above 8000 bytes of bytecode HotSpot interprets a method; wide text projections
     # then run several times faster split up than fused into one stage method.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # Rows to Python come in batches bounded by bytes: ten thousand long texts are no small batch.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     ship(spark)
     return spark
 

@@ -7,12 +7,15 @@ per batch id, so a batch that is retried replaces its own output.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ordered import ordered_groups
-from ..operators.temporal import latest_per_key, transition_allowed
+from ..operators.temporal import JOB_EDGES
 from ..staging import new_path
 
 
@@ -28,14 +31,19 @@ def read_log(
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, mode: str, name: str, folder: str | None = None) -> tuple[DataFrame, list[dict]]:
+def drain(
+    stream: DataFrame, mode: str, name: str, folder: str | None = None, keys: list[str] | None = None
+) -> tuple[DataFrame, list[dict]]:
     """Process what is available; return the result table and this run's progress reports.
 
-    ``complete`` results are the last batch's table, ``append`` and ``update``
-    results are all batches together. A call with the ``folder`` of an earlier one
+    ``complete`` results are the last batch's table, ``append`` results all batches
+    together. ``update`` results need the ``keys`` of a row: of its versions the one of
+    the latest batch stays. A call with the ``folder`` of an earlier one
     goes on where that stopped, and its result includes the earlier batches.
     Reports are gathered batch by batch: the engine itself forgets all but the last.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode returns versions of rows: name their keys")
     spark = stream.sparkSession
     folder = folder or new_path(spark, name)
     out = f"{folder}/out"
@@ -65,6 +73,10 @@ def drain(stream: DataFrame, mode: str, name: str, folder: str | None = None) ->
     table = spark.read.schema(schema).parquet(out)
     if mode == "complete":
         table = table.filter(F.col("batch") == (table.agg(F.max("batch")).first()[0] or 0))
+    elif mode == "update":
+        rest = [c for c in table.columns if c not in (*keys, "batch")]
+        last = table.groupBy(*keys, "batch").agg(*[F.first(c).alias(c) for c in rest]).groupBy(*keys)
+        table = last.agg(F.max_by(F.struct(*rest, "batch"), "batch").alias("_last")).select(*keys, "_last.*").select(*table.columns)
     return table.drop("batch"), [reports[n] for n in sorted(reports)]
 
 
@@ -100,57 +112,120 @@ def accepted_chunks(chunks: DataFrame, late: str) -> DataFrame:
     return chunks.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["upload_id", "idx", "sha256"])
 
 
-def transition_stream(log: DataFrame, limit: int | None = None, base: str | None = None) -> DataFrame:
-    """Check job state changes batch by batch; return the invalid ones.
+class JobChecker(StatefulProcessor):
+    """Checks a job's rows in order of time once no earlier row can come.
 
-    State is one row per job - its last status - kept as a table per batch. A
-    batch is the previous batch's state plus the new rows in order, so the batch
-    operator does the checking and a job with very many rows is split like in
-    batch jobs. Calling again with the same ``base`` folder resumes the stream.
+    Rows wait in the state until the watermark has passed them; a timer for the
+    earliest one wakes the job. Only its last status is kept beyond that.
     """
-    spark = log.sparkSession
-    base = base or new_path(spark, "transitions")
-    columns = ["job_id", "event_id", "ts", "status"]
-    schema = log.select(*columns).schema
-    result = T.StructType([*schema.fields, T.StructField("previous_status", T.StringType())])
-    spark.createDataFrame([], result).write.mode("overwrite").parquet(f"{base}/invalid/batch=-1")
-
-    def check(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select(*columns).withColumn("_new", F.lit(True))
-        if batch_id > 0:
-            state = spark.read.schema(schema).parquet(f"{base}/state/batch={batch_id - 1}")
-            fresh = fresh.unionByName(state.withColumn("_new", F.lit(False)))
-        linked = ordered_groups(fresh, ["job_id"], ["ts", "event_id"], limit).lag(previous_status="status").result()
-        invalid = linked.filter(F.col("_new") & ~transition_allowed(F.col("previous_status"), F.col("status")))
-        invalid.drop("_new").write.mode("overwrite").parquet(f"{base}/invalid/batch={batch_id}")
-        last = latest_per_key(fresh.drop("_new"), ["job_id"], ["ts", "event_id"]).select(*columns)
-        last.write.mode("overwrite").parquet(f"{base}/state/batch={batch_id}")
-
-    query = (
-        log.writeStream.option("checkpointLocation", f"{base}/progress")
-        .trigger(availableNow=True)
-        .foreachBatch(check)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(result).parquet(f"{base}/invalid").select(*result.fieldNames())
-
 
-def index_stream(frames: DataFrame, embed, table_path: str, key: str = "frame_id", folder: str | None = None) -> None:
+    WAITING = "ts long, event_id long, status string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status string")
+        self.alarm = handle.getValueState("alarm", "at long")
+        self.waiting = handle.getListState("waiting", self.WAITING)
+        self.edges = set(JOB_EDGES)
+
+    def _wake_at(self, micros: int) -> None:
+        """A timer for the earliest waiting row; an earlier one than before takes its place."""
+        at, old = -(-micros // 1000), self.alarm.get()
+        if old is not None and old[0] <= at:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old[0])
+        self.handle.registerTimer(at)
+        self.alarm.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for part in rows:
+            new = [(int(t), int(e), s) for t, e, s in zip(part["micros"], part["event_id"], part["status"], strict=True)]
+            if new:
+                self.waiting.appendList(new)
+                self._wake_at(min(t for t, _, _ in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get())
+        due = [r for r in rows if r[0] <= passed]
+        rest = rows[len(due) :]
+        self.alarm.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wake_at(rest[0][0])
+        else:
+            self.waiting.clear()
+        known = self.last.get()
+        before, bad = known[0] if known else "", []
+        for micros, event, status in due:
+            if before != status and (before, status) not in self.edges:
+                bad.append((key[0], event, pd.Timestamp(micros, unit="us", tz="UTC"), status, before or None))
+            before = status
+        if due:
+            self.last.update((before,))
+        if bad:
+            yield pd.DataFrame(bad, columns=["job_id", "event_id", "ts", "status", "previous_status"])
+
+    def close(self) -> None:
+        pass
+
+
+def transition_stream(log: DataFrame, late: str = "1 hour", folder: str | None = None) -> DataFrame:
+    """Invalid job state changes of a status log (``job_id, event_id, ts, status``), as a table.
+
+    Rows may come in any order as long as none is later than ``late``: they are judged in
+    the order of (time, event id), as the batch operator does. Rows that are later are refused
+    by the watermark, and rows the watermark has not passed yet wait in the state store;
+    calling again with the same ``folder`` goes on there. A null status counts as no state;
+    rows without a time or an event id have no place in the order and are left out.
+    """
+    spark = log.sparkSession
+    timed = log.select(
+        "job_id", F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.coalesce("status", F.lit("")).alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+    ).filter("ts is not null and event_id is not null").withWatermark("ts", late)
+    schema = T.StructType(
+        [timed.schema["job_id"], T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
+         T.StructField("status", T.StringType()), T.StructField("previous_status", T.StringType())]
+    )
+    checked = timed.groupBy("job_id").transformWithStateInPandas(JobChecker(), schema, "Append", "EventTime")
+    provider, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, store)  # timers and lists need this store
+    try:
+        return drain(checked, "append", "transitions", folder)[0]
+    finally:
+        spark.conf.set(provider, before)
+
+
+#: Folders of an index. A batch reads the keys of those its own keys fall into.
+INDEX_BUCKETS = 64
+
+
+def index_stream(
+    frames: DataFrame, embed, table_path: str, key: str = "frame_id", folder: str | None = None, buckets: int = INDEX_BUCKETS
+) -> None:
     """Embed newly arrived frames and append those whose key is not indexed yet.
 
     ``embed`` maps a frame DataFrame to index rows. Keys are deterministic, so
-    replaying the same input, or retrying a batch, adds nothing twice. A call with
+    replaying the same input, or retrying a batch, adds nothing twice. The table is
+    partitioned by a hash of the key (column ``bucket``): a batch looks its keys up in the
+    folders they belong to and reads no other. A call with
     the ``folder`` of an earlier one reads only what has arrived since.
     """
     spark = frames.sparkSession
-    schema = embed(frames).schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(table_path)
+    schema = T.StructType([*embed(frames).schema.fields, T.StructField("bucket", T.IntegerType())])
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("bucket").parquet(table_path)
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        known = spark.read.schema(schema).parquet(table_path).select(key)
-        new = batch.dropDuplicates([key]).join(known, key, "left_anti")
-        embed(new).write.mode("append").parquet(table_path)
+        arrived = batch.dropDuplicates([key])
+        touched = [r[0] for r in arrived.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
+        known = spark.read.schema(schema).parquet(table_path).filter(F.col("bucket").isin(touched)).select(key)
+        new = arrived.join(known, key, "left_anti")
+        embed(new).withColumn("bucket", bucket).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(table_path)
 
     query = (
         frames.writeStream.option("checkpointLocation", folder or new_path(spark, "index-progress"))
@@ -161,10 +236,40 @@ def index_stream(frames: DataFrame, embed, table_path: str, key: str = "frame_id
     query.awaitTermination()
 
 
+def split_late(log: DataFrame, length: str, late: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows in time and rows the watermark refuses, as two tables with the columns of ``log`` and ``window_end``.
+
+    A row of ``ts`` is refused when its window of the given length has ended ``late`` before the
+    latest time of all earlier batches, which is when a windowed aggregation drops it. Rows
+    are split before they are aggregated, so every single one is accounted for. The latest
+    time of each batch is written beside its rows; a batch that is retried writes the same again.
+    """
+    spark = log.sparkSession
+    folder = folder or new_path(spark, "late-rows")
+    placed = log.withColumn("window_end", F.window("ts", length)["end"])
+    seen = T.StructType([T.StructField("latest", T.TimestampType()), T.StructField("batch", T.LongType())])
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        earlier = spark.read.schema(seen).parquet(f"{folder}/seen").filter(F.col("batch") < batch_id)
+        passed = earlier.agg((F.max("latest") - F.expr(f"interval {late}")).alias("passed"))
+        marked = batch.join(F.broadcast(passed)).withColumn("_late", F.coalesce(F.col("window_end") <= F.col("passed"), F.lit(False)))
+        marked.drop("passed").write.mode("overwrite").partitionBy("_late").parquet(f"{folder}/rows/batch={batch_id}")
+        batch.agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
+
+    spark.createDataFrame([], seen).drop("batch").write.mode("overwrite").parquet(f"{folder}/seen/batch=-1")
+    query = placed.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(split).start()
+    query.awaitTermination()
+    rows = T.StructType([*placed.schema.fields, T.StructField("batch", T.LongType()), T.StructField("_late", T.BooleanType())])
+    spark.createDataFrame([], T.StructType(rows.fields[:-2])).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1/_late=false")
+    found = spark.read.schema(rows).parquet(f"{folder}/rows")
+    return found.filter("not _late").select(*placed.columns), found.filter("_late").select(*placed.columns)
+
+
 def dropped_late_rows(progress: list[dict]) -> int:
-    """Rows the stateful operators refused because of the watermark.
+    """Rows the stateful operators say they refused because of the watermark.
 
-    Spark counts them after partial aggregation, so this is a lower bound of input rows.
+    Spark counts them after partial aggregation, so this is a lower bound of input rows;
+    :func:`split_late` counts them exactly.
     """
     return sum(
         int(op.get("numRowsDroppedByWatermark", 0)) for p in progress for op in p.get("stateOperators", [])

@@ -28,25 +28,46 @@ def job_log(spark, tmp_path_factory):
     return path, spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("limit", [None, 20])
-def test_transitions(spark, job_log, limit):
-    path, table = job_log
-    out = streams.transition_stream(streams.read_log(spark, path, table.schema, files_per_batch=1), limit)
-    want = temporal.validate_transitions(table, ["ts", "event_id"]).filter("not allowed")
-    got = {(r["event_id"], r["previous_status"]) for r in out.collect()}
-    assert got == {(r["event_id"], r["previous_status"]) for r in want.collect()}
+STATUS_LOG = "job_id string, event_id long, ts timestamp, status string"
+
 
+def invalid(table, until=None):
+    found = temporal.validate_transitions(table, ["ts", "event_id"]).filter("not allowed")
+    found = found.filter(F.col("ts") <= until) if until else found
+    return sorted((r.event_id, r.previous_status or "") for r in found.collect())
 
-def test_transitions_resume(spark, job_log, tmp_path):
+
+def test_transitions_in_order_of_time_whatever_the_arrival(spark, job_log, tmp_path):
+    """Rows up to 50 minutes late, several batches, a stop and a resumption after each of two halves."""
     _, table = job_log
-    schema = "job_id string, event_id long, ts timestamp, status string"
-    rows = [tuple(r) for r in table.orderBy("event_id").collect()]
-    for half in (rows[:100], rows[100:]):
-        write_parts(spark, half, schema, str(tmp_path / "in"), 2)
+    rng = random.Random(5)
+    rows = sorted((tuple(r) for r in table.collect()), key=lambda r: r[1] + rng.randrange(50))
+    assert [r[1] for r in rows] != sorted(r[1] for r in rows)
+    latest = dt.datetime(2024, 1, 1)
+    for half in (rows[:130], rows[130:]):
+        write_parts(spark, half, STATUS_LOG, str(tmp_path / "in"), 2)
         log = streams.read_log(spark, str(tmp_path / "in"), table.schema, files_per_batch=1)
-        out = streams.transition_stream(log, base=str(tmp_path / "job"))
-    want = temporal.validate_transitions(table, ["ts", "event_id"]).filter("not allowed")
-    assert sorted(r["event_id"] for r in out.collect()) == sorted(r["event_id"] for r in want.collect())
+        out = streams.transition_stream(log, "60 minutes", str(tmp_path / "job"))
+        latest = max([latest, *[r[2] for r in half]])
+        got = sorted((r.event_id, r.previous_status or "") for r in out.collect())
+        assert got == invalid(table, latest - dt.timedelta(minutes=60))
+    assert len(got) > 20
+
+
+def test_transitions_refuse_rows_behind_the_watermark(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    at = lambda m: start + dt.timedelta(minutes=m)
+    parts = [
+        [("j", 1, at(0), "queued"), ("j", 2, at(10), "running"), ("j", 3, at(600), "completed")],
+        [("j", 4, at(5), "failed"), (None, 9, at(601), "queued"), ("j", 5, None, "failed"), ("j", 6, at(900), None)],
+        [("j", 7, at(2000), "queued"), ("j", 8, at(500), "failed")],
+    ]
+    for n, part in enumerate(parts):
+        write_parts(spark, part, STATUS_LOG, str(tmp_path / "in"), 1)
+    schema = spark.createDataFrame([], STATUS_LOG).schema
+    out = streams.transition_stream(streams.read_log(spark, str(tmp_path / "in"), schema, files_per_batch=1), "60 minutes")
+    # Event 4 comes before anything was judged; event 8 comes after the watermark has passed it.
+    assert sorted((r.event_id, r.previous_status) for r in out.collect()) == [(2, "failed"), (4, "queued"), (6, "completed")]
 
 
 def test_latest_status(spark, job_log):
@@ -79,6 +100,54 @@ def test_index_replay_adds_nothing(spark, tmp_path):
         assert sorted(r["frame_id"] for r in spark.read.parquet(str(tmp_path / "index")).collect()) == sorted(f"f{i}" for i in range(25))
 
 
+def test_update_mode_keeps_the_last_version(spark, job_log):
+    path, table = job_log
+    stream = streams.latest_status(streams.read_log(spark, path, table.schema, files_per_batch=1))
+    out, _ = streams.drain(stream, "update", "latest", keys=["job_id"])
+    want = temporal.latest_per_key(table, ["job_id"], ["ts", "event_id"])
+    assert out.columns == ["job_id", "status", "event_id"]
+    assert {(r["job_id"], r["event_id"]) for r in out.collect()} == {(r["job_id"], r["event_id"]) for r in want.collect()}
+    with pytest.raises(ValueError):
+        streams.drain(stream, "update", "latest")
+
+
+def test_index_reads_only_the_folders_of_a_batch(spark, tmp_path):
+    rows = [(f"f{i}", [float(i), 1.0]) for i in range(40)]
+    write_parts(spark, rows, "frame_id string, embedding array<double>", str(tmp_path / "in"), 4)
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    index = str(tmp_path / "index")
+    streams.index_stream(streams.read_log(spark, str(tmp_path / "in"), schema, files_per_batch=1), lambda df: df, index, buckets=8)
+    assert {r.frame_id: r.embedding for r in spark.read.parquet(index).collect()} == dict(rows)
+    # A folder that no arriving key belongs to may even be unreadable.
+    key = F.pmod(F.xxhash64(F.lit("f0")), F.lit(8)).cast("int")
+    touched = spark.range(1).select(key.alias("b")).first().b
+    other = next(p for p in (tmp_path / "index").glob("bucket=*") if p.name != f"bucket={touched}")
+    for file in other.glob("*.parquet"):
+        file.write_bytes(b"broken")
+    write_parts(spark, rows[:1], "frame_id string, embedding array<double>", str(tmp_path / "again"), 1)
+    streams.index_stream(streams.read_log(spark, str(tmp_path / "again"), schema), lambda df: df, index, buckets=8)
+    assert spark.read.parquet(index).filter(F.col("bucket") == touched).groupBy("frame_id").count().filter("count > 1").isEmpty()
+
+
+def test_late_rows_are_split_exactly(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    at = lambda m: start + dt.timedelta(minutes=m)
+    batches = [[("a", at(i)) for i in range(0, 300, 10)], [("a", at(250)), ("a", at(200)), ("a", at(10)), ("a", at(10)), ("b", at(100))], [("b", at(239)), ("b", at(400)), ("b", None)]]
+    schema = spark.createDataFrame([], "name string, ts timestamp").schema
+    kept_all, late_all = [], []
+    for n in range(3):
+        write_parts(spark, batches[n], "name string, ts timestamp", str(tmp_path / "in"), 1)
+        kept, late = streams.split_late(streams.read_log(spark, str(tmp_path / "in"), schema, files_per_batch=1), "1 hour", "30 minutes", str(tmp_path / "job"))
+        passed = max((t for b in batches[:n] for _, t in b if t), default=None)
+        for row in batches[n]:
+            end = row[1] and row[1].replace(minute=0) + dt.timedelta(hours=1)
+            refused = passed is not None and end is not None and end <= passed - dt.timedelta(minutes=30)
+            (late_all if refused else kept_all).append(row)
+        show = lambda df: sorted(str((r["name"], r["ts"])) for r in df.collect())
+        assert show(late) == sorted(str(r) for r in late_all) and show(kept) == sorted(str(r) for r in kept_all)
+    assert len(late_all) == 5
+
+
 def test_windows_and_late_rows(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     on_time = [("m", start + dt.timedelta(minutes=i), 1.0) for i in range(600)]
