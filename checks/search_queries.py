@@ -12,7 +12,8 @@ from kairoscope.functions.vectors import cosine_pairs, embed_text, mean_vector
 from kairoscope.operators import context, evaluate, filters, ranking, retrieval, temporal
 from kairoscope.plans import search
 from kairoscope.schemas import RerankWeights, SearchParams
-from kairoscope.staging import stage
+from kairoscope.sources.tables import scan_index, write_vectors
+from kairoscope.staging import new_path, stage
 
 from . import sql as S
 from . import views as V
@@ -53,12 +54,13 @@ def _hit_columns(df):
 
 @query(
     "v1_cosine",
-    f"""with {S.FRAMES}, {S.PROTOTYPES}
+    f"""with {S.FRAMES}, {S.PROTOTYPES.replace(" where media_type = 'video'", "")}
     select f.frame_id, f.video_id, round({S.cos('f.embedding', 'p.embedding')}, 6) cosine
     from frames f join proto p on p.query_id = f.video_id""",
 )
 def v1(spark, d):
-    frames, proto = V.vectors(spark, d), _prototypes(spark, d)
+    frames = V.vectors(spark, d)
+    proto = mean_vector(frames.select(F.col("video_id").alias("query_id"), "embedding"), ["query_id"])
     joined = frames.join(proto.select(F.col("query_id").alias("video_id"), F.col("embedding").alias("_p")), "video_id")
     return rounded(joined.select("frame_id", "video_id", cosine_pairs("embedding", "_p").alias("cosine")), "cosine")
 
@@ -73,31 +75,32 @@ def v3(spark, d):
     return _hit_columns(retrieval.top_k(V.vectors(spark, d), _prototypes(spark, d), 20))
 
 
-@query(
-    "v4_approximate_top_k",
-    f"""with {S.FRAMES}, {S.QVEC}, cells as (
-      select frame_id cell_id, embedding from frames order by md5(frame_id), frame_id limit 16),
-    home as (
-      select f.frame_id, f.video_id, f.embedding, c.cell_id from frames f cross join cells c
-      qualify row_number() over (partition by f.frame_id
-        order by round({S.cos('f.embedding', 'c.embedding')}, 12) desc, c.cell_id) = 1),
-    probes as (
-      select q.query_id, q.embedding, c.cell_id from qvec q cross join cells c
-      qualify row_number() over (partition by q.query_id
-        order by round({S.cos('q.embedding', 'c.embedding')}, 12) desc, c.cell_id) <= 4),
-    found as (
-      select p.query_id, h.frame_id, h.video_id, {S.cos('h.embedding', 'p.embedding')} raw
-      from probes p join home h using (cell_id)),
-    hits as (
-      select *, row_number() over (partition by query_id order by score desc, frame_id) as rank
-      from (select *, round((1 + raw) / 2, 12) score from found) qualify rank <= 50)
-    select {HIT_COLUMNS} from hits""",
-)
+def _coded(spark, d, vectors):
+    book, path = retrieval.fit_codebook(vectors, 16), new_path(spark, "coded")
+    write_vectors(retrieval.index_vectors(vectors, book), path)
+    return scan_index(spark, path), book
+
+
+@query("v4_approximate_top_k", f"{HITS} select {HIT_COLUMNS} from hits")
 def v4(spark, d):
-    vectors = V.vectors(spark, d)
-    cells = stage(retrieval.seed_cells(vectors, 16), "cells")
-    homed = stage(retrieval.assign_cells(vectors, cells), "assigned")
-    return _hit_columns(retrieval.approx_top_k(homed, _text_vectors(spark, d), cells, P.top_k, n_probe=4))
+    """With every cell probed and enough candidates by code the exact hits are found."""
+    index, book = _coded(spark, d, V.vectors(spark, d))
+    return _hit_columns(retrieval.approx_top_k(index, _text_vectors(spark, d), book, P.top_k, n_probe=16, rescore=16))
+
+
+# The share of the exact best 50 that a search of fourteen of sixteen cells must find;
+# the given vectors have no clusters, so few cells do not hold them.
+RECALL = 0.9
+
+
+@query("v4_recall", f"with {S.FRAMES}, {S.QVEC} select count(*) * least(50, (select count(*) from frames))::bigint wanted, true enough from qvec")
+def v4_recall(spark, d):
+    vectors, queries = V.vectors(spark, d), _text_vectors(spark, d)
+    index, book = _coded(spark, d, vectors)
+    found = retrieval.approx_top_k(index, queries, book, P.top_k, n_probe=14)
+    exact = retrieval.top_k(vectors, queries, P.top_k).select("query_id", "frame_id")
+    both = exact.join(found.select("query_id", "frame_id", F.lit(1).alias("found")), ["query_id", "frame_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("wanted"), (F.count("found") >= RECALL * F.count(F.lit(1))).alias("enough"))
 
 
 @query(
@@ -288,10 +291,8 @@ def v15(spark, d):
 
 
 def _results(spark, d, mode, p=P, **kw):
-    return search.search_moments(
-        V.vectors(spark, d), V.text_queries(spark, d), V.media(spark, d), p, mode, dim=V.DIM,
-        stamps={"embedding_model": V.STAMPS["model"]}, **kw,
-    )
+    vectors = V.vectors(spark, d).withColumns({name: F.lit(value) for name, value in V.STAMPS.items()})
+    return search.search_moments(vectors, V.text_queries(spark, d), V.media(spark, d), p, mode, dim=V.DIM, stamps=V.STAMPS, **kw)
 
 
 FAST = f"{REPS}, top as (select * from (select * exclude (rank), row_number() over (partition by query_id order by score desc, frame_id) as rank from reps) where rank <= 5)"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..staging import stage
 from .temporal import frames_near
 
 
@@ -36,7 +37,9 @@ def with_context(
     packed = moments.select(
         *keys, "video_id", "timestamp", low.alias("_low"), high.alias("_high"), F.struct(*moments.columns).alias("_m")
     )
-    near = frames_near(packed, frames.select("frame_id", "video_id", "timestamp"), window_s)
+    # Read twice below; staged so that the moments are found once.
+    packed = stage(packed, "moments")
+    near = frames_near(packed, frames.select("frame_id", "video_id", "timestamp"), window_s, staged=True)
     near = near.filter(F.col("near_timestamp").between(F.col("_low"), F.col("_high")))
     width = (F.col("_high") - F.col("_low")) / bins
     part = F.least(F.lit(bins - 1), F.floor((F.col("near_timestamp") - F.col("_low")) / width).cast("int"))

@@ -34,6 +34,28 @@ def merge_intervals(
     ).drop("_island")
 
 
+#: Levels of time nodes; the widest hold 2^LEVELS slots.
+LEVELS = 62
+
+
+def time_nodes(first: Column, last: Column) -> Column:
+    """The nodes, as ``(level, node)``, that together hold the slots ``first`` to ``last``.
+
+    A node of a level holds two of the level below. Any range is the union of at most two
+    nodes a level, so its rows grow with the logarithm of its length.
+    """
+
+    def at(level: Column) -> Column:
+        half = F.call_function("shiftright", -first, level)
+        low, high = -half, F.call_function("shiftright", last + 1, level)
+        node = lambda n: F.struct(level.alias("level"), n.alias("node"))
+        odd = lambda n: F.pmod(n, F.lit(2)) == 1
+        some = low < high
+        return F.array(F.when(some & odd(low), node(low)), F.when(some & odd(high), node(high - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+
+
 def coverage_gaps(
     islands: DataFrame,
     requests: DataFrame,
@@ -46,16 +68,20 @@ def coverage_gaps(
 
     ``islands`` are disjoint (see :func:`merge_intervals`). The gap before an
     island comes from the island in front of it, the gap at the end from an as-of
-    join, so no request meets islands outside its window.
+    join, so no request meets islands outside its window. A request looks into the few
+    nodes of time that make up its window, however long; an island is in one node of each
+    level that some request uses.
     """
     if slot_s is None:
         slot_s = max(1.0, requests.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 1.0)
     slot = lambda t: F.floor(t / F.lit(float(slot_s))).cast("long")
     asked = requests.select(*keys, request_id, F.col("start").alias("_s"), F.col("end").alias("_e"))
     preceded = ordered_groups(islands, keys, ["start", "end"], limit).lag(_reach="end").result()
-    fronts = preceded.withColumn("_slot", slot(F.col("start")))
-    spread = asked.withColumn("_slot", F.explode(F.sequence(slot(F.col("_s")), slot(F.col("_e")))))
-    met = spread.join(fronts, [*keys, "_slot"]).filter((F.col("start") > F.col("_s")) & (F.col("start") <= F.col("_e")))
+    spread = asked.filter("_s <= _e").withColumn("_at", F.explode(time_nodes(slot(F.col("_s")), slot(F.col("_e"))))).select("*", "_at.*").drop("_at")
+    levels = sorted(r[0] for r in spread.select("level").distinct().collect())  # at most LEVELS + 1
+    place = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(slot(F.col("start")), n).alias("node")) for n in levels or [0]])
+    fronts = preceded.withColumn("_at", F.explode(place)).select("*", "_at.*").drop("_at")
+    met = spread.join(fronts, [*keys, "level", "node"]).filter((F.col("start") > F.col("_s")) & (F.col("start") <= F.col("_e")))
     before = met.select(
         *keys, request_id,
         F.greatest("_s", "_reach").alias("gap_start"), F.col("start").alias("gap_end"),

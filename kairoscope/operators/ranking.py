@@ -212,3 +212,18 @@ def require_compatible(vectors: DataFrame, expected: dict[str, str], allow_misma
     if not vectors.filter(~same).isEmpty():
         raise ValueError("the index holds vectors of another model, revision, dimension or version")
     return vectors
+
+
+def gate(vectors: DataFrame, expected: dict[str, str] | None, allow_mismatch: bool = False) -> DataFrame:
+    """The vectors if they are known to come from the expected model.
+
+    Fails closed: without stamps on the vectors, or without an expectation for each of
+    them, nothing is known. ``allow_mismatch`` lets unstamped vectors pass.
+    """
+    unstamped = [c for c in STAMP_COLUMNS if c not in vectors.columns]
+    unexpected = [c for c in STAMP_COLUMNS if c not in (expected or {})]
+    if unstamped or unexpected:
+        if allow_mismatch:
+            return vectors
+        raise ValueError(f"the model of the vectors is not known: stamps missing {unstamped}, not expected {unexpected}")
+    return require_compatible(vectors, expected, allow_mismatch)

@@ -1,7 +1,10 @@
-"""Exact and cell-pruned nearest-frame retrieval.
+"""Exact and approximate nearest-frame retrieval.
 
-Scores are a matrix product per Arrow batch inside the scan's own tasks. Only a
-task's local best rows per query leave it, never all (query, frame) pairs.
+Scores are a matrix product per Arrow batch inside the scan's own tasks. A first pass
+over the beginnings of some tasks' shares finds a score that the k-th best frame of each
+query reaches at least; the scan sends only frames at or above it, and no more than ``k``
+a query and task. What leaves the scan so depends on ``k`` and the sample's share of the
+frames, not on the number of tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +25,19 @@ HIT_SCHEMA = (
 )
 CARRIED = ("frame_id", "video_id", "media_type", "timestamp")
 PAIR_BUDGET = 4_000_000
-FAN_IN = 64
+#: Rows of one query that a task of the first merge should get.
+MERGE_ROWS = 100_000
+#: Queries are sent to the tasks in batches of at most so many bytes of vectors.
+BATCH_BYTES = 32 << 20
+#: Component rows a batch may have besides.
 BROADCAST_ROWS = 16_384
-CELL_ROWS = 200_000
+#: Tables of up to so many frames are searched without floors.
+SAMPLE_FROM = 100_000
+#: For the floors about so many tasks score their first rows.
+SAMPLE_TASKS = 256
+SAMPLE_ROWS = 16_384
+#: Frames that a task of the scan holds at least, to estimate the number of tasks.
+TASK_ROWS = 50_000
 # Scores are compared at 12 decimals so that equal vectors tie whatever block they sit in.
 SCORE_DIGITS = 12
 
@@ -65,20 +79,24 @@ def _unit(m: np.ndarray) -> np.ndarray:
 class LocalBest:
     """Best ``k`` rows per query seen by one task: by score, then frame id."""
 
-    def __init__(self, block: QueryBlock, k: int, min_similarity: float, method: str):
+    def __init__(self, block: QueryBlock, k: int, min_similarity: float, method: str, floor: np.ndarray | None = None):
         self.block, self.k, self.min_similarity, self.method = block, k, min_similarity, method
-        self.floor = np.full(len(block.ids), -np.inf)
+        self.floor = np.full(len(block.ids), -np.inf) if floor is None else floor.copy()
         self.parts: list[tuple] = []
         self.pending = 0
 
-    def add(self, batch: pa.RecordBatch) -> None:
+    def add(self, batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> None:
+        """Take in a batch; only the (query, row) pairs that are ``wanted``, if given."""
+        if wanted is not None:  # rows that no query wants are not scored
+            rows = np.flatnonzero(wanted.any(axis=0))
+            batch, wanted = batch.take(pa.array(rows)), wanted[:, rows]
         step = max(1, PAIR_BUDGET // max(1, len(self.block.component)))
         for at in range(0, batch.num_rows, step):
-            self._add(batch.slice(at, step))
+            self._add(batch.slice(at, step), None if wanted is None else wanted[:, at : at + step])
             if self.pending > 4 * self.k * len(self.block.ids) + 100_000:
                 self._compact()
 
-    def _add(self, batch: pa.RecordBatch) -> None:
+    def _add(self, batch: pa.RecordBatch, wanted: np.ndarray | None) -> None:
         b = self.block
         vectors = _matrix(batch.column("embedding"))
         if vectors.shape[1] != b.matrix.shape[1]:
@@ -99,6 +117,8 @@ class LocalBest:
             score = np.where(
                 np.take_along_axis(shifted, winner, axis=0) >= self.min_similarity, score, -np.inf
             )
+        if wanted is not None:
+            score = np.where(wanted, score, -np.inf)
         # k rows of this block reach the block's k-th best, so nothing below it can be among the best k.
         if score.shape[1] > self.k:
             at = score.shape[1] - self.k
@@ -143,19 +163,15 @@ class LocalBest:
         )
 
 
-def _rank(hits: DataFrame, k: int) -> DataFrame:
-    """Global best ``k`` per query; the first round keeps any one task's input small."""
+def _rank(hits: DataFrame, k: int, parts: int) -> DataFrame:
+    """Global best ``k`` per query; a first round merges ``parts`` shares of a query's rows."""
     by = [F.desc("score"), F.asc("frame_id")]
-    part = Window.partitionBy("query_id", "_salt").orderBy(*by)
+    if parts > 1:
+        part = Window.partitionBy("query_id", "_salt").orderBy(*by)
+        salted = hits.withColumn("_salt", F.pmod(F.hash("frame_id"), F.lit(parts))).withColumn("_r", F.row_number().over(part))
+        hits = salted.filter(F.col("_r") <= k).drop("_salt", "_r")
     whole = Window.partitionBy("query_id").orderBy(*by)
-    return (
-        hits.withColumn("_salt", F.pmod(F.hash("frame_id"), F.lit(FAN_IN)))
-        .withColumn("_r", F.row_number().over(part))
-        .filter(F.col("_r") <= k)
-        .drop("_salt", "_r")
-        .withColumn("rank", F.row_number().over(whole))
-        .filter(F.col("rank") <= k)
-    )
+    return hits.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
 
 
 def _components(queries: DataFrame) -> DataFrame:
@@ -175,208 +191,240 @@ def top_k(
     min_similarity: float = 0.0,
     method: str = "max",
     boost: float = 1.2,
+    batch_bytes: int = BATCH_BYTES,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Exact ``k`` nearest frames per query.
 
     ``queries``: ``query_id, embedding`` and optionally ``component`` (0 = the full
     query); several components of a query are fused per frame by ``method``, the
-    full query weighted by ``boost``. Up to ``broadcast_rows`` component rows are
-    broadcast and the vectors never shuffle; larger tables use a query x vector
-    grid of bounded cells.
+    full query weighted by ``boost``. Queries go to the scan's tasks in batches of bounded
+    bytes, one scan of the vectors each; the vectors are never shuffled.
     """
     source = vectors.select(*CARRIED, "embedding").filter(F.col("embedding").isNotNull())
-    comps = _components(queries)
-    head = comps.limit(broadcast_rows + 1).toArrow()
-    if head.num_rows > broadcast_rows:
-        local = _grid(source, comps, k, min_similarity, method, boost, broadcast_rows)
-    elif head.num_rows == 0:
+    hits, rows = None, None
+    for table in _query_batches(_components(queries), batch_bytes, broadcast_rows):
+        block = QueryBlock(table, boost)
+        rows = vectors.count() if rows is None else rows
+        part = _scan(source, block, k, min_similarity, method, rows)
+        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
         return source.sparkSession.createDataFrame([], HIT_SCHEMA + ", rank int")
-    else:
-        shared = source.sparkSession.sparkContext.broadcast(QueryBlock(head, boost))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = LocalBest(shared.value, k, min_similarity, method)
-            for batch in batches:
-                best.add(batch)
-            out = best.result()
-            if out is not None:
-                yield out
-
-        local = source.mapInArrow(scan, HIT_SCHEMA)
-    return _rank(local, k)
-
-
-def _grid(
-    source: DataFrame, comps: DataFrame, k: int, min_similarity: float, method: str, boost: float, rows: int
-) -> DataFrame:
-    """Cells of (query block, vector block): each side is replicated along the other axis."""
-    comps = stage(comps, "queries")
-    n_query, n_vector = comps.count(), source.count()
-    q_blocks = max(1, -(-2 * n_query // rows))
-    v_blocks = max(1, -(-n_vector // CELL_ROWS))
-    left = comps.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
-        "_v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long")))
-    )
-    right = source.withColumn("_v", F.pmod(F.xxhash64("frame_id"), F.lit(v_blocks))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))
-    )
-
-    scorer = _cell_scorer(k, min_similarity, method, boost)
-    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(scorer, HIT_SCHEMA)
-
+    return hits
+
+
+def _query_batches(comps: DataFrame, batch_bytes: int, rows: int) -> Iterator[pa.Table]:
+    """Whole queries, at most so many bytes of vectors and rows at a time, one batch at the driver."""
+    head = comps.limit(rows + 1).toArrow()
+    if head.num_rows == 0:
+        return
+    width = 8 * max(1, len(head.column("embedding")[0]) if head.column("embedding")[0].is_valid else 1)
+    if head.num_rows <= rows and head.num_rows * width <= batch_bytes:
+        yield head
+        return
+    staged = stage(comps, "queries")
+    batches = -(-2 * staged.count() // max(1, min(rows, batch_bytes // width)))
+    for n in range(batches):
+        table = staged.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == n).toArrow()
+        if table.num_rows:
+            yield table
+
+
+def _scan(source: DataFrame, block: QueryBlock, k: int, min_similarity: float, method: str, rows: int) -> DataFrame:
+    context = source.sparkSession.sparkContext
+    shared = context.broadcast((block, _floors(source, block, k, min_similarity, method, rows)))
 
-def _cell_scorer(k: int, min_similarity: float, method: str, boost: float):
-    """Score one (query block, frame block) cell; both are bounded by the caller."""
-
-    def cell(block: pa.Table, frames: pa.Table) -> pa.Table:
-        out = None
-        if block.num_rows and frames.num_rows:
-            best = LocalBest(QueryBlock(block, boost), k, min_similarity, method)
-            for batch in frames.combine_chunks().to_batches():
-                best.add(batch)
-            out = best.result()
-        return _EMPTY_HITS if out is None else pa.Table.from_batches([out])
-
-    return cell
-
-
-_EMPTY_HITS = pa.table(
-    {
-        name: pa.array([], {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}[kind])
-        for name, kind in (f.split() for f in HIT_SCHEMA.split(", "))
-    }
-)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, floor = shared.value
+        best = LocalBest(queries, k, min_similarity, method, floor)
+        for batch in batches:
+            best.add(batch)
+        out = best.result()
+        if out is not None:
+            yield out
 
+    # At most k rows a query from each task, if every frame ties with the floor.
+    return _rank(source.mapInArrow(scan, HIT_SCHEMA), k, _parts(k, rows, context.defaultParallelism))
 
-# --- approximate retrieval: only the cells near a query are read -----------------
 
+def _parts(k: int, rows: int, least: int) -> int:
+    """Shares of a query's rows for the first merge, from the number of scan tasks."""
+    return -(-k * max(least, rows // TASK_ROWS) // MERGE_ROWS)
 
-def seed_cells(vectors: DataFrame, n_cells: int) -> DataFrame:
-    """``n_cells`` spread-out frames as cell centres, chosen by hash of the id."""
-    picked = (
-        vectors.filter(F.col("embedding").isNotNull())
-        .select(F.md5("frame_id").alias("_h"), "frame_id", "embedding")
-        .orderBy("_h", "frame_id")
-        .limit(n_cells)
-    )
-    return picked.select(
-        F.col("frame_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("embedding")
-    )
 
+def _floors(source: DataFrame, block: QueryBlock, k: int, min_similarity: float, method: str, rows: int) -> np.ndarray:
+    """A score per query that at least ``k`` frames reach: the k-th best of some of the frames.
 
-def refine_cells(vectors: DataFrame, cells: DataFrame, rounds: int = 1) -> DataFrame:
-    """Move each centre to the mean of its members; tasks emit one partial sum per cell."""
-    schema = "cell_id string, total array<double>, n long"
+    Any ``k`` frames of the source prove the bound, so a task takes the first rows of its share and
+    reads no further, and of very many tasks only some take part.
+    """
+    floors = np.full(len(block.ids), -np.inf)
+    if rows <= SAMPLE_FROM:
+        return floors
+    context = source.sparkSession.sparkContext
+    shared, share = context.broadcast(block), SAMPLE_TASKS / max(1, rows // TASK_ROWS)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-        counts: dict[str, int] = {}
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (TaskContext.get().partitionId() * 0.6180339887498949) % 1 >= share:
+            return
+        best, left = LocalBest(shared.value, k, min_similarity, method), SAMPLE_ROWS
         for batch in batches:
-            names, inverse = np.unique(np.array(batch.column("cell_id").to_pylist(), dtype=str), return_inverse=True)
-            part = np.zeros((len(names), len(batch.column("embedding")[0])))
-            np.add.at(part, inverse, _matrix(batch.column("embedding")))
-            for i, (name, n) in enumerate(zip(names.tolist(), np.bincount(inverse).tolist())):
-                totals[name] = totals.get(name, 0.0) + part[i]
-                counts[name] = counts.get(name, 0) + n
-        if totals:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(totals), pa.string()),
-                    pa.array([t.tolist() for t in totals.values()], pa.list_(pa.float64())),
-                    pa.array([counts[c] for c in totals], pa.int64()),
-                ],
-                names=["cell_id", "total", "n"],
-            )
-
+            best.add(batch.slice(0, left))
+            left -= batch.num_rows
+            if left <= 0:
+                break
+        out = best.result()
+        if out is not None:
+            yield out.select(["query_id", "score"])
+
+    scores = source.mapInArrow(scan, "query_id string, score double")
+    in_order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    last = scores.withColumn("_r", F.row_number().over(in_order)).filter(F.col("_r") <= k).filter(F.col("_r") == k)
+    found = last.select("query_id", "score").toArrow()
+    at = {query: n for n, query in enumerate(block.ids.tolist())}
+    for query, score in zip(found.column("query_id").to_pylist(), found.column("score").to_pylist(), strict=True):
+        floors[at[query]] = score
+    return floors
+
+
+# --- approximate retrieval: short codes in the cells near a query, then exact scores -----
+
+#: Vectors the centres and code books are fitted on, at most.
+FIT_ROWS = 20_000
+#: Parts of a vector that are coded by a byte each.
+CODE_PARTS = 16
+FIT_ROUNDS = 8
+#: Best frames by code that are scored exactly, as a multiple of ``k``.
+RESCORE = 4
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The closest centre of each row."""
+    return np.argmin((centres * centres).sum(1) - 2 * rows @ centres.T, axis=1)
+
+
+def _centres(rows: np.ndarray, count: int, rounds: int) -> np.ndarray:
+    """Centres of a bounded sample by repeated means; the first rows begin."""
+    centres = rows[: min(count, len(rows))].copy()
     for _ in range(rounds):
-        members = assign_cells(vectors, cells).select("cell_id", "embedding")
-        parts = members.mapInArrow(sums, schema)
-        flat = parts.select("cell_id", "n", F.posexplode("total").alias("_i", "_x"))
-        means = flat.groupBy("cell_id", "_i").agg((F.sum("_x") / F.sum("n")).alias("_x"))
-        packed = means.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_p"))
-        cells = stage(packed.select("cell_id", F.transform("_p", lambda e: e["_x"]).alias("embedding")), "cells")
-    return cells
-
-
-def _nearest_cells(cells: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    """Add the ``n`` nearest cells to each row as ``cell_ids`` (ties: smaller id)."""
-    head = cells.limit(BROADCAST_ROWS + 1).toArrow()
-    if head.num_rows > BROADCAST_ROWS:
-        raise ValueError("use at most %d cells" % BROADCAST_ROWS)
-    ids = np.array(head.column("cell_id").to_pylist(), dtype=str)
-    order = np.argsort(ids)
-    shared = table.sparkSession.sparkContext.broadcast(
-        (ids[order], _unit(_matrix(head.column("embedding").combine_chunks())[order]))
-    )
-    schema = table.withColumn("cell_ids", F.array(F.lit(""))).schema
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, centres = shared.value
-        step = max(1, PAIR_BUDGET // len(names))
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                score = np.round(_unit(_matrix(batch.column("embedding"))) @ centres.T, SCORE_DIGITS)
-                near = np.argsort(-score, axis=1, kind="stable")[:, :n]
-                lists = pa.array([names[row].tolist() for row in near], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "cell_ids"])
-
-    return table.mapInArrow(scan, schema)
+        home = _nearest(rows, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, rows)
+        members = np.bincount(home, minlength=len(centres))
+        centres = np.where(members[:, None] > 0, sums / np.maximum(members, 1)[:, None], centres)
+    return centres
+
+
+class Codebook:
+    """Two levels of centres: cells of whole unit vectors, and 256 centres for each part of what is left."""
+
+    def __init__(self, sample: np.ndarray, n_cells: int, parts: int = CODE_PARTS, rounds: int = FIT_ROUNDS):
+        sample = _unit(sample)
+        self.cells = _centres(sample, n_cells, rounds)
+        rest = sample - self.cells[_nearest(sample, self.cells)]
+        self.bounds = np.linspace(0, sample.shape[1], min(parts, sample.shape[1]) + 1).astype(int)
+        self.books = [_centres(rest[:, a:b], 256, rounds) for a, b in zip(self.bounds, self.bounds[1:])]
+
+    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell and code, a byte for each part, of each vector."""
+        unit = _unit(vectors)
+        home = _nearest(unit, self.cells)
+        rest = unit - self.cells[home]
+        parts = [_nearest(rest[:, a:b], book) for a, b, book in zip(self.bounds, self.bounds[1:], self.books)]
+        return home, np.stack(parts, 1).astype(np.uint8)
+
+    def tables(self, queries: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """What each cell and each code byte adds to the cosine of each query."""
+        return queries @ self.cells.T, [queries[:, a:b] @ book.T for a, b, book in zip(self.bounds, self.bounds[1:], self.books)]
+
+
+def fit_codebook(vectors: DataFrame, n_cells: int, parts: int = CODE_PARTS, rows: int = FIT_ROWS) -> Codebook:
+    """A code book from at most ``rows`` vectors, drawn by a hash of their ids."""
+    drawn = vectors.filter(F.col("embedding").isNotNull()).select(F.md5("frame_id").alias("_h"), "frame_id", "embedding").orderBy("_h", "frame_id").limit(rows)
+    sample = _matrix(drawn.select("embedding").toArrow().column("embedding").combine_chunks())
+    if not len(sample):
+        raise ValueError("no vectors to fit on")
+    return Codebook(sample, n_cells, parts)
+
+
+def index_vectors(vectors: DataFrame, book: Codebook) -> DataFrame:
+    """Every frame with its ``cell_id`` and ``code``; write it partitioned by cell to serve searches."""
+    source = vectors.select(*CARRIED, "embedding").filter(F.col("embedding").isNotNull())
+    shared = source.sparkSession.sparkContext.broadcast(book)
+    schema = source.withColumn("code", F.lit(b"")).withColumn("cell_id", F.lit(0)).schema
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home, codes = shared.value.encode(_matrix(batch.column("embedding")))
+            rows = [row.tobytes() for row in codes]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary()), pa.array(home.astype(np.int32))], schema.names)
 
-def assign_cells(vectors: DataFrame, cells: DataFrame) -> DataFrame:
-    """Tag each frame with its nearest cell; write the result partitioned by cell to serve searches."""
-    source = vectors.select(*CARRIED, "embedding").filter(F.col("embedding").isNotNull())
-    return _nearest_cells(cells, source, 1).withColumn("cell_id", F.col("cell_ids")[0]).drop("cell_ids")
+    return source.mapInArrow(run, schema)
 
 
 def approx_top_k(
-    assigned: DataFrame,
+    index: DataFrame,
     queries: DataFrame,
-    cells: DataFrame,
+    book: Codebook,
     k: int = 50,
     n_probe: int = 4,
-    salts: int = 8,
     method: str = "max",
     boost: float = 1.2,
+    rescore: int = RESCORE,
+    batch_bytes: int = BATCH_BYTES,
     broadcast_rows: int = BROADCAST_ROWS,
-    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """``k`` nearest frames among each query's ``n_probe`` nearest cells, exactly scored.
-
-    A query of several components visits the cells near any of them, and all its
-    components are fused there as in :func:`top_k`.
+    """``k`` nearest frames among each query's ``n_probe`` nearest cells.
 
-    A cell is a grid of query blocks and frame blocks whose numbers follow from
-    the measured sizes, so neither a crowded cell nor a popular one makes a big
-    group, and a frame meets only the queries that probe its cell.
+    Only the folders of probed cells are read. A task adds up what a frame's cell and code
+    bytes contribute to each query, and scores its best ``rescore * k`` frames a query exactly, in
+    place: only scores leave it. A query of several components visits the cells near
+    any of them, and all its components are fused as in :func:`top_k`.
     """
-    comps = _components(queries)
-    visits = _nearest_cells(cells, comps, n_probe).select("query_id", F.explode("cell_ids").alias("cell_id")).distinct()
-    probes = visits.join(comps, "query_id")
-    probes = stage(probes, "probes")
-    # At most one id per cell, and cells are capped: on a table partitioned by cell, other folders are not read.
-    probed = [r["cell_id"] for r in probes.select("cell_id").distinct().collect()]
-    assigned = assigned.filter(F.col("cell_id").isin(probed))
-    blocks = lambda rows: F.ceil(F.count(F.lit(1)) / rows).cast("int")
-    frame_blocks = assigned.groupBy("cell_id").agg(F.greatest(F.lit(salts), blocks(cell_rows)).alias("_frame_blocks"))
-    query_blocks = probes.groupBy("cell_id").agg(blocks(broadcast_rows).alias("_query_blocks"))
-    # One row per cell, and the number of cells is capped when they are made.
-    sizes = F.broadcast(frame_blocks.join(query_blocks, "cell_id"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (
-        probes.join(sizes, "cell_id")
-        .withColumn("_q", F.pmod(F.hash("query_id"), F.col("_query_blocks")))
-        .withColumn("_f", every("_frame_blocks"))
-    )
-    right = (
-        assigned.join(sizes, "cell_id")
-        .withColumn("_f", F.pmod(F.hash("frame_id"), F.col("_frame_blocks")))
-        .withColumn("_q", every("_query_blocks"))
-    )
-    group = ["cell_id", "_q", "_f"]
-    hits = left.drop("_frame_blocks", "_query_blocks").groupBy(*group).cogroup(
-        right.drop("_frame_blocks", "_query_blocks").groupBy(*group)
-    ).applyInArrow(_cell_scorer(k, 0.0, method, boost), HIT_SCHEMA)
-    return _rank(hits, k)
+    hits = None
+    for table in _query_batches(_components(queries), batch_bytes, broadcast_rows):
+        block = QueryBlock(table, boost)
+        near, lookups = book.tables(block.matrix)
+        probed = np.zeros((len(block.ids), near.shape[1]), bool)
+        owner = np.repeat(np.arange(len(block.ids)), block.lengths)
+        best = np.argsort(-np.round(near, SCORE_DIGITS), axis=1, kind="stable")[:, :n_probe]
+        probed[owner[:, None], best] = True
+        cells = np.flatnonzero(probed.any(axis=0)).tolist()  # at most as many as the code book has
+        part = _scan_codes(index.filter(F.col("cell_id").isin(cells)), block, near, lookups, probed, k, rescore * k, method)
+        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        return index.sparkSession.createDataFrame([], HIT_SCHEMA + ", rank int")
+    return hits
+
+
+def _scan_codes(
+    index: DataFrame, block: QueryBlock, near: np.ndarray, lookups: list[np.ndarray], probed: np.ndarray, k: int, tries: int, method: str
+) -> DataFrame:
+    source = index.select(*CARRIED, "embedding", "code", F.col("cell_id").cast("int").alias("cell_id"))
+    context = source.sparkSession.sparkContext
+    shared = context.broadcast((block, near, lookups, probed))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, near, lookups, probed = shared.value
+        local = LocalBest(block, k, 0.0, method)
+        step = max(1, PAIR_BUDGET // max(1, len(block.component)))
+        for whole in batches:
+            for low in range(0, whole.num_rows, step):
+                batch = whole.slice(low, step)
+                cell = batch.column("cell_id").to_numpy()
+                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                guess = near[:, cell]
+                for part, table in enumerate(lookups):
+                    guess += table[:, codes[:, part]]
+                score = (guess + 1) / 2 * block.weights[:, None]
+                fused = (np.maximum if method == "max" else np.add).reduceat(score, block.starts, axis=0)
+                fused = np.where(probed[:, cell], fused, -np.inf)
+                if fused.shape[1] > tries:
+                    floor = np.partition(fused, -tries, axis=1)[:, -tries]
+                    fused = np.where(fused >= floor[:, None], fused, -np.inf)
+                local.add(batch, fused > -np.inf)
+        out = local.result()
+        if out is not None:
+            yield out
+
+    return _rank(source.mapInArrow(scan, HIT_SCHEMA), k, _parts(k, 0, context.defaultParallelism))

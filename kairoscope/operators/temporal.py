@@ -46,25 +46,39 @@ def _slot(t: Column, width: float) -> Column:
     return F.floor(t / F.lit(width)).cast("long")
 
 
-def frames_near(moments: DataFrame, frames: DataFrame, window_s: float) -> DataFrame:
+#: Moments (a few hundred bytes, in three slots each) that are broadcast at most; of more, only
+#: their (video, slot) pairs, up to the second number, to leave frames out before they are shuffled.
+BROADCAST_MOMENTS = 50_000
+BROADCAST_SLOTS = 2_000_000
+
+
+def frames_near(moments: DataFrame, frames: DataFrame, window_s: float, staged: bool = False) -> DataFrame:
     """Pair each moment with the frames of its video within ``window_s`` seconds.
 
     Time slots as wide as the window turn the range into an equality: a moment
-    looks into at most three slots, a frame lives in one. Which side is
-    broadcast, if any, is left to Spark's size check. ``moments`` needs
-    ``video_id, timestamp``; frame columns come back prefixed ``near_``.
+    looks into at most three slots, a frame lives in one. The moments are staged (or
+    ``staged`` already), so their number is known: few are broadcast, and the frames stay
+    where they are; of many, the slots leave out all other frames before the join shuffles.
+    ``moments`` needs ``video_id, timestamp``; frame columns come back prefixed ``near_``.
     """
+    moments = moments if staged else stage(moments, "moments")
     slots = F.sequence(_slot(F.col("timestamp") - window_s, window_s), _slot(F.col("timestamp") + window_s, window_s))
     left = moments.withColumn("_slot", F.explode(slots))
     right = frames.select(*[F.col(c).alias(f"near_{c}") for c in frames.columns]).withColumn(
         "_near_slot", _slot(F.col("near_timestamp"), window_s)
     )
+    if moments.count() <= BROADCAST_MOMENTS:
+        left = F.broadcast(left)
+    else:
+        wanted = stage(left.select(F.col("video_id").alias("near_video_id"), F.col("_slot").alias("_near_slot")).distinct(), "slots")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SLOTS else wanted
+        right = right.join(wanted, ["near_video_id", "_near_slot"], "left_semi")
     on = (
         (F.col("video_id") == F.col("near_video_id"))
         & (F.col("_slot") == F.col("_near_slot"))
         & F.col("near_timestamp").between(F.col("timestamp") - window_s, F.col("timestamp") + window_s)
     )
-    return left.join(right, on).drop("_slot", "_near_slot")
+    return right.join(left, on).select(*moments.columns, *[f"near_{c}" for c in frames.columns])
 
 
 def nearest_frame(moments: DataFrame, frames: DataFrame, window_s: float, keys: list[str]) -> DataFrame:

@@ -104,13 +104,15 @@ def search_moments(
 
     ``fast``: retrieval and grouping. ``accurate``: expansion, fine search where
     ``fine_vectors`` are given, deterministic rerank, and an external
-    ``permutation`` where valid, which takes the place of relevance in sorting. Where the
-    vectors carry model stamps and ``stamps`` are given, foreign vectors are refused.
-    ``metadata`` mode is :func:`search_metadata`.
+    ``permutation`` where valid, which takes the place of relevance in sorting.
+    ``stamps`` name the model the queries were embedded with. Vectors of another one, and
+    vectors that do not say, are refused; ``allow_model_mismatch`` leaves foreign vectors out
+    and lets unstamped ones pass. ``metadata`` mode is :func:`search_metadata`.
     """
     accurate = mode == "accurate"
-    if stamps is not None and set(ranking.STAMP_COLUMNS) <= set(vectors.columns) & set(stamps):
-        vectors = ranking.require_compatible(vectors, stamps, p.allow_model_mismatch)
+    vectors = ranking.gate(vectors, stamps, p.allow_model_mismatch)
+    if fine_vectors is not None:
+        fine_vectors = ranking.gate(fine_vectors, stamps, p.allow_model_mismatch)
     comps = query_vectors(queries, dim, expand=accurate)
     found = moments(candidates(vectors, comps, media, p), p).withColumn("retrieval_stage", F.lit("coarse"))
     if accurate and p.fine_search and fine_vectors is not None:
@@ -127,15 +129,17 @@ def search_moments(
         found = ranking.order_results(found.drop("rank"))
         found = ranking.accept_permutation(found, permutation).drop("rank")
     if p.sort_by == "upload_date":
-        found = found.join(media.select("video_id", "uploaded_at"), "video_id")
+        # A moment whose media row is missing has no date and comes last.
+        found = found.join(media.select("video_id", "uploaded_at"), "video_id", "left")
     ranked = ranking.order_results(found, p.sort_by, p.sort_order, p.final_results)
     ranked = ranked.drop("uploaded_at") if "uploaded_at" in ranked.columns else ranked
     named = ranked.join(ranking.guard_queries(queries).select("query_id", "query"), "query_id")
     frames = vectors
     if accurate and p.fine_search and fine_vectors is not None:
         # A fine match is shown among fine frames; coarse ones fill in where there are none.
+        # A frame in both counts once: frames near a moment are aggregated by their place.
         columns = ["frame_id", "video_id", "timestamp"]
-        frames = vectors.select(*columns).unionByName(fine_vectors.select(*columns)).dropDuplicates(["frame_id"])
+        frames = vectors.select(*columns).unionByName(fine_vectors.select(*columns))
     return project_results(named, media, frames, p, stamps or {})
 
 

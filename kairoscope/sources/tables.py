@@ -20,17 +20,17 @@ def scan_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_vectors(vectors: DataFrame, path: str, by: str = "cell_id") -> None:
-    """Store assigned vectors partitioned by retrieval cell, so probes prune whole folders."""
+    """Store coded vectors partitioned by retrieval cell, so probes prune whole folders."""
     vectors.write.mode("append").partitionBy(by).parquet(path)
 
 
 INDEX_SCHEMA = (
-    "frame_id string, video_id string, media_type string, timestamp double, embedding array<float>, cell_id string"
+    "frame_id string, video_id string, media_type string, timestamp double, embedding array<float>, code binary, cell_id int"
 )
 
 
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    """The assigned vectors; the schema is fixed so that numeric-looking cell ids stay text."""
+    """The coded vectors; the schema is fixed, so an empty index can be read as well."""
     return spark.read.schema(INDEX_SCHEMA).parquet(path)
 
 

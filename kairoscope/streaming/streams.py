@@ -246,7 +246,9 @@ def split_late(log: DataFrame, length: str, late: str, folder: str | None = None
     """
     spark = log.sparkSession
     folder = folder or new_path(spark, "late-rows")
-    placed = log.withColumn("window_end", F.window("ts", length)["end"])
+    # Not by window(), which leaves out rows without a time.
+    at, width = F.unix_micros(F.col("ts").cast("timestamp")), F.expr(f"unix_micros(timestamp_micros(0) + interval {length})")
+    placed = log.withColumn("window_end", F.timestamp_micros(at - F.pmod(at, width) + width))
     seen = T.StructType([T.StructField("latest", T.TimestampType()), T.StructField("batch", T.LongType())])
 
     def split(batch: DataFrame, batch_id: int) -> None:

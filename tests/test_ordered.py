@@ -202,3 +202,31 @@ def test_transitions(spark, limit):
     assert flags == [True, True, True, True, False, True, True]
     assert got.filter("job_id = 'x'").first()["allowed"] is False
     assert got.filter("job_id = 'big' and not allowed").count() == 2
+
+
+def test_a_huge_request_looks_into_few_nodes(spark):
+    """Nodes hold exactly the slots of a range; a request of a million slots takes fewer than a hundred."""
+    ranges = [(0, 0), (5, 5), (-3, 4), (-9, -2), (7, 8), (1, 1_000_000), (-1_000_000, 999_999), (3, 2**40), (4, 3)]
+    df = spark.createDataFrame(ranges, "a long, b long")
+    for row in df.withColumn("nodes", intervals.time_nodes(F.col("a"), F.col("b"))).collect():
+        assert len(row.nodes) < 100
+        spans = sorted((n.node << n.level, (n.node + 1 << n.level) - 1) for n in row.nodes)
+        assert not spans if row.a > row.b else (spans[0][0], spans[-1][1]) == (row.a, row.b)
+        assert all(left[1] + 1 == right[0] for left, right in zip(spans, spans[1:]))
+
+
+def test_gaps_of_requests_of_very_unlike_lengths(spark):
+    cached = [("v", 10.0 * i, 10.0 * i + 5) for i in range(-20, 400)]
+    asked = [("v", f"r{i}", float(i), float(i) + 1) for i in range(0, 60, 7)] + [("v", "huge", -1e6, 1e6), ("v", "none", 5.0, 5.0)]
+    islands = spark.createDataFrame(cached, "video_id string, start double, end double")
+    requests = spark.createDataFrame(asked, "video_id string, request_id string, start double, end double")
+    got = sorted((r.request_id, r.gap_start, r.gap_end) for r in intervals.coverage_gaps(islands, requests, ["video_id"], slot_s=1.0).collect())
+    want = []
+    for _, name, low, high in asked:
+        at = low
+        for _, a, b in cached:
+            if b >= low and a <= high:
+                want += [(name, at, min(a, high))] if a > at else []
+                at = max(at, b)
+        want += [(name, at, high)] if high > at else []
+    assert got == sorted(want)

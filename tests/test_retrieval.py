@@ -53,8 +53,12 @@ def ranked(df):
 
 @pytest.mark.parametrize("method", ["max", "sum"])
 @pytest.mark.parametrize("rows", [10_000, 6])
-def test_exact_paths(data, method, rows):
-    """Broadcast path and, with a tiny bound, the grid path."""
+@pytest.mark.parametrize("floors", [False, True])
+def test_exact_paths(data, method, rows, floors, monkeypatch):
+    """One batch of queries and, with a tiny bound, several; with and without floors."""
+    if floors:
+        monkeypatch.setattr(retrieval, "SAMPLE_FROM", 10)
+        monkeypatch.setattr(retrieval, "SAMPLE_ROWS", 40)
     vectors, queries, cos = data
     got = ranked(retrieval.top_k(vectors, queries, 30, method=method, boost=1.3, broadcast_rows=rows))
     assert got == brute(cos, 30, method, 1.3)
@@ -97,32 +101,59 @@ def test_dimension_mismatch_fails(spark, data):
         retrieval.top_k(vectors, bad, 5).collect()
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_approximate(data, small):
-    """All cells probed = exact; few probes = high recall on what they cover; hot cell split."""
-    vectors, queries, cos = data
-    cells = retrieval.refine_cells(vectors, retrieval.seed_cells(vectors, 6), 1)
-    assert cells.count() <= 6
-    homed = retrieval.assign_cells(vectors, cells)
-    assert homed.count() == N
-    size = {"salts": 1, "broadcast_rows": 16_384, "cell_rows": 20} if small else {}
-    full = queries.filter("component = 0")
-    exact = ranked(retrieval.top_k(vectors, full, 20))
-    assert ranked(retrieval.approx_top_k(homed, full, cells, 20, n_probe=6, **size)) == exact
-    some = ranked(retrieval.approx_top_k(homed, full, cells, 20, n_probe=3, **size))
+def test_rows_leaving_the_scan_do_not_grow_with_the_tasks(spark, monkeypatch):
+    """With floors about k frames a query leave the scan, in few tasks as in many."""
+    monkeypatch.setattr(retrieval, "SAMPLE_FROM", 10)
+    monkeypatch.setattr(retrieval, "SAMPLE_ROWS", 200)
+    sent = []
+
+    def counted(hits, k, parts):
+        sent.append(hits.count())
+        return rank(hits, k, parts)
+
+    rank = retrieval._rank
+    monkeypatch.setattr(retrieval, "_rank", counted)
+    rng = np.random.default_rng(8)
+    rows = [(f"f{i:04d}", "v", "video", float(i), rng.normal(size=DIM).tolist()) for i in range(6000)]
+    vectors = spark.createDataFrame(rows, "frame_id string, video_id string, media_type string, timestamp double, embedding array<double>")
+    queries = spark.createDataFrame([("q", rng.normal(size=DIM).tolist())], "query_id string, embedding array<double>")
+    for tasks in (4, 16):
+        retrieval.top_k(vectors.repartition(tasks), queries, 20)
+    monkeypatch.setattr(retrieval, "SAMPLE_FROM", 10**9)
+    retrieval.top_k(vectors.repartition(16), queries, 20)
+    few, many, without = sent
+    assert many <= 2 * few and many < 160 and without == 16 * 20
+
+
+@pytest.mark.parametrize("rows", [10_000, 6])
+@pytest.mark.parametrize("method", ["max", "sum"])
+def test_approximate(data, rows, method):
+    """All cells and frames tried = exact; few of both = most of it."""
+    vectors, queries, _ = data
+    book = retrieval.fit_codebook(vectors, 6, parts=4)
+    index = retrieval.index_vectors(vectors, book)
+    assert index.count() == N and index.filter("length(code) != 4").isEmpty()
+    exact = ranked(retrieval.top_k(vectors, queries, 20, method=method))
+    every = retrieval.approx_top_k(index, queries, book, 20, n_probe=6, method=method, rescore=N, broadcast_rows=rows)
+    assert ranked(every) == exact
+    some = ranked(retrieval.approx_top_k(index, queries.filter("component = 0"), book, 20, n_probe=4, rescore=4))
+    exact = ranked(retrieval.top_k(vectors, queries.filter("component = 0"), 20))
     found = sum(len({f for f, *_ in some[q]} & {f for f, *_ in exact[q]}) for q in exact)
-    assert found / (20 * Q) > 0.6
+    assert found / (20 * Q) > 0.7
 
 
 def test_unprobed_cells_are_not_read(data, spark, tmp_path):
     vectors, queries, _ = data
-    cells = retrieval.seed_cells(vectors, 8)
-    write_vectors(retrieval.assign_cells(vectors, cells), str(tmp_path / "index"))
+    book = retrieval.fit_codebook(vectors, 8)
+    write_vectors(retrieval.index_vectors(vectors, book), str(tmp_path / "index"))
     index = scan_index(spark, str(tmp_path / "index"))
     one = queries.filter("query_id = 'q0' and component = 0")
-    hits = retrieval.approx_top_k(index, one, cells, 5, n_probe=1)
+    hits = retrieval.approx_top_k(index, one, book, 5, n_probe=1)
     assert hits.count() == 5
-    assert re.search(r"PartitionFilters: \[[^\]]*cell_id", hits._jdf.queryExecution().toString())
+    plan = hits._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell_id", plan)
+    shuffled = re.findall(r"Exchange hashpartitioning.*", plan.split("== Physical Plan ==")[1])
+    assert shuffled and not any("embedding" in line for line in shuffled)
 
 
 def test_cosine_forms_agree(data):
@@ -228,3 +259,28 @@ def test_frames_near_is_closed(spark):
     assert {r["near_frame_id"] for r in temporal.frames_near(m, f, 8.0).collect()} == {"2", "10", "18"}
     best = temporal.nearest_frame(m, f, 8.0, ["query_id", "frame_id"]).first()
     assert best["near_frame_id"] == "10"
+
+
+def test_frames_stay_where_they_are(spark, monkeypatch):
+    """Few moments are broadcast; of many, their slots leave out frames before the join. Both find the same."""
+    rng = np.random.default_rng(3)
+    frames = spark.createDataFrame([(f"f{i}", f"v{rng.integers(4)}", float(rng.integers(4000))) for i in range(900)], "frame_id string, video_id string, timestamp double")
+    moments = spark.createDataFrame([(f"m{i}", f"v{rng.integers(5)}", float(rng.integers(4000))) for i in range(60)], "frame_id string, video_id string, timestamp double")
+    f, m = frames.toPandas(), moments.toPandas()
+    both = m.merge(f, on="video_id", suffixes=("", "_near"))
+    both = both[(both.timestamp - both.timestamp_near).abs() <= 8.0]
+    want = sorted(zip(both.frame_id, both.frame_id_near))
+    shown = lambda df: sorted((r.frame_id, r.near_frame_id) for r in df.collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = temporal.frames_near(moments, frames, 8.0)
+        assert near.columns == ["frame_id", "video_id", "timestamp", "near_frame_id", "near_video_id", "near_timestamp"]
+        assert "hashpartitioning" not in near._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert shown(near) == want
+        for pairs in (10**6, 0):
+            monkeypatch.setattr(temporal, "BROADCAST_MOMENTS", 0)
+            monkeypatch.setattr(temporal, "BROADCAST_SLOTS", pairs)
+            assert shown(temporal.frames_near(moments, frames, 8.0)) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

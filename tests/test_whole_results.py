@@ -13,6 +13,19 @@ from kairoscope.schemas import STAMP_COLUMNS, SearchParams
 from kairoscope.streaming import streams
 
 
+STAMPS = {"dim": "32", "model": "m", "model_revision": "1", "preprocessing_version": "p", "indexing_version": "i"}
+
+
+def stamped(vectors):
+    return vectors.withColumns({name: F.lit(value) for name, value in STAMPS.items()})
+
+
+def search(vectors, queries, media, *args, fine_vectors=None, **options):
+    """A search of vectors that say which model they come from."""
+    fine = None if fine_vectors is None else stamped(fine_vectors)
+    return search_moments(stamped(vectors), queries, media, *args, fine_vectors=fine, stamps=STAMPS, **options)
+
+
 @pytest.fixture(scope="module")
 def index(spark):
     words = ["red car", "blue car", "red boat", "green tree", "red car road", "car"]
@@ -29,7 +42,7 @@ def index(spark):
 def test_no_result_is_lost(index):
     """v2 has no media row; v1 ends before most of its frames."""
     vectors, media, queries = index
-    got = search_moments(vectors, queries, media, SearchParams(final_results=18, group_window_s=0.0), "fast", dim=32).collect()
+    got = search(vectors, queries, media, SearchParams(final_results=18, group_window_s=0.0), "fast", dim=32).collect()
     assert sorted(r["rank"] for r in got) == list(range(1, 19))
     assert all(any(f["frame_id"] == r["frame_id"] for f in r["context_frames"]) for r in got)
     assert {r["video_name"] for r in got} == {"zero.mp4", "one.mp4", "v2"} and all(r["context_text"] for r in got)
@@ -38,23 +51,23 @@ def test_no_result_is_lost(index):
 def test_permutation_of_another_query_changes_nothing(index, spark):
     vectors, media, queries = index
     p = SearchParams(final_results=5)
-    plain = search_moments(vectors, queries, media, p, "fast", dim=32).collect()
+    plain = search(vectors, queries, media, p, "fast", dim=32).collect()
     other = spark.createDataFrame([("else", "f0", 1)], "query_id string, frame_id string, new_rank int")
-    got = search_moments(vectors, queries, media, p, "fast", dim=32, permutation=other).collect()
+    got = search(vectors, queries, media, p, "fast", dim=32, permutation=other).collect()
     key = lambda rows: sorted((r["rank"], r["frame_id"]) for r in rows)
     assert key(got) == key(plain) and len(got) == 5
     late = SearchParams(final_results=5, sort_by="timestamp", sort_order="asc")
-    got = sorted(search_moments(vectors, queries, media, late, "fast", dim=32, permutation=other).collect(), key=lambda r: r["rank"])
+    got = sorted(search(vectors, queries, media, late, "fast", dim=32, permutation=other).collect(), key=lambda r: r["rank"])
     assert [r["timestamp"] for r in got] == sorted(r["timestamp"] for r in got)
 
 
 def test_accepted_permutation_is_the_relevance(index, spark):
     vectors, media, queries = index
     p = SearchParams(final_results=50)
-    plain = sorted(search_moments(vectors, queries, media, p, "fast", dim=32).collect(), key=lambda r: r["rank"])
+    plain = sorted(search(vectors, queries, media, p, "fast", dim=32).collect(), key=lambda r: r["rank"])
     n = len(plain)
     turned = spark.createDataFrame([("q", r["frame_id"], n + 1 - r["rank"]) for r in plain], "query_id string, frame_id string, new_rank int")
-    got = search_moments(vectors, queries, media, SearchParams(final_results=3), "fast", dim=32, permutation=turned)
+    got = search(vectors, queries, media, SearchParams(final_results=3), "fast", dim=32, permutation=turned)
     assert [r["frame_id"] for r in sorted(got.collect(), key=lambda r: r["rank"])] == [r["frame_id"] for r in plain[::-1][:3]]
 
 
@@ -73,6 +86,27 @@ def test_foreign_models_are_refused(index):
     assert got.count() == 17 and got.filter("frame_id = 'f3'").isEmpty()
 
 
+def test_unstamped_or_unexpected_indexes_are_refused(index):
+    vectors, media, queries = index
+    for given, stamps in ((vectors, STAMPS), (stamped(vectors), None), (stamped(vectors), {"model": "m"}), (stamped(vectors).drop("dim"), STAMPS)):
+        with pytest.raises(ValueError, match="not known"):
+            search_moments(given, queries, media, mode="fast", dim=32, stamps=stamps)
+    with pytest.raises(ValueError):
+        search_moments(stamped(vectors), queries, media, mode="accurate", dim=32, stamps=STAMPS, fine_vectors=vectors)
+    allowed = SearchParams(allow_model_mismatch=True)
+    assert search_moments(vectors, queries, media, allowed, "fast", dim=32).count() == 5
+
+
+def test_results_without_a_date_come_last(index):
+    """v2 has no media row, v0 and v1 no date: none is lost in the order by upload date."""
+    vectors, media, queries = index
+    dated = media.withColumn("uploaded_at", F.when(F.col("video_id") == "v1", F.lit("2024-01-01").cast("timestamp")))
+    for order in ("asc", "desc"):
+        p = SearchParams(final_results=50, group_window_s=0.0, sort_by="upload_date", sort_order=order)
+        got = sorted(search(vectors, queries, dated, p, "fast", dim=32).collect(), key=lambda r: r["rank"])
+        assert len(got) == 18 and {r["video_id"] for r in got[:6]} == {"v1"} and "v2" in {r["video_id"] for r in got[6:]}
+
+
 def test_fine_match_is_shown_among_fine_frames(index, spark):
     vectors, media, queries = index
     fine = embed_text(
@@ -80,7 +114,7 @@ def test_fine_match_is_shown_among_fine_frames(index, spark):
                               "frame_id string, video_id string, media_type string, timestamp double, words string"), "words", 32
     ).drop("words")
     coarse = vectors.filter("video_id = 'v0'").withColumn("embedding", F.when(F.col("frame_id") == "f0", F.transform("embedding", lambda x: x * 0 + 1)).otherwise(F.col("embedding")))
-    got = search_moments(coarse, queries, media, SearchParams(final_results=50, fine_max_events=50), "accurate", dim=32, fine_vectors=fine)
+    got = search(coarse, queries, media, SearchParams(final_results=50, fine_max_events=50), "accurate", dim=32, fine_vectors=fine)
     row = got.filter("frame_id = 'g1'").first()
     assert row["retrieval_stage"] == "fine" and {"g1", "g2"} <= {f["frame_id"] for f in row["context_frames"]}
 
@@ -88,8 +122,8 @@ def test_fine_match_is_shown_among_fine_frames(index, spark):
 def test_components_in_approximate_search(index, spark):
     vectors, _, _ = index
     comps = embed_text(spark.createDataFrame([("q", 0, "red car"), ("q", 1, "red"), ("q", 2, "tree")], "query_id string, component int, words string"), "words", 32)
-    cells = retrieval.seed_cells(vectors, 3)
-    approximate = retrieval.approx_top_k(retrieval.assign_cells(vectors, cells), comps, cells, 10, n_probe=3)
+    book = retrieval.fit_codebook(vectors, 3, parts=8)
+    approximate = retrieval.approx_top_k(retrieval.index_vectors(vectors, book), comps, book, 10, n_probe=3)
     rows = lambda df: sorted((r["rank"], r["frame_id"], round(r["score"], 9)) for r in df.collect())
     assert rows(approximate) == rows(retrieval.top_k(vectors, comps, 10))
 
