@@ -38,7 +38,7 @@ def merge_intervals(
 LEVELS = 62
 
 
-def time_nodes(first: Column, last: Column) -> Column:
+def time_nodes(first: Column, last: Column, levels: int = LEVELS) -> Column:
     """The nodes, as ``(level, node)``, that together hold the slots ``first`` to ``last``.
 
     A node of a level holds two of the level below. Any range is the union of at most two
@@ -53,7 +53,7 @@ def time_nodes(first: Column, last: Column) -> Column:
         some = low < high
         return F.array(F.when(some & odd(low), node(low)), F.when(some & odd(high), node(high - 1)))
 
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)))
 
 
 def coverage_gaps(
@@ -70,16 +70,16 @@ def coverage_gaps(
     island comes from the island in front of it, the gap at the end from an as-of
     join, so no request meets islands outside its window. A request looks into the few
     nodes of time that make up its window, however long; an island is in one node of each
-    level that some request uses.
+    level up to that of the longest request.
     """
-    if slot_s is None:
-        slot_s = max(1.0, requests.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 1.0)
+    mean, longest = requests.agg(F.avg(F.col("end") - F.col("start")), F.max(F.col("end") - F.col("start"))).first()
+    slot_s = max(1.0, mean or 1.0) if slot_s is None else slot_s
+    levels = min(LEVELS, int((longest or 0.0) // slot_s + 2).bit_length())
     slot = lambda t: F.floor(t / F.lit(float(slot_s))).cast("long")
     asked = requests.select(*keys, request_id, F.col("start").alias("_s"), F.col("end").alias("_e"))
     preceded = ordered_groups(islands, keys, ["start", "end"], limit).lag(_reach="end").result()
-    spread = asked.filter("_s <= _e").withColumn("_at", F.explode(time_nodes(slot(F.col("_s")), slot(F.col("_e"))))).select("*", "_at.*").drop("_at")
-    levels = sorted(r[0] for r in spread.select("level").distinct().collect())  # at most LEVELS + 1
-    place = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(slot(F.col("start")), n).alias("node")) for n in levels or [0]])
+    spread = asked.filter("_s <= _e").withColumn("_at", F.explode(time_nodes(slot(F.col("_s")), slot(F.col("_e")), levels))).select("*", "_at.*").drop("_at")
+    place = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(slot(F.col("start")), n).alias("node")) for n in range(levels + 1)])
     fronts = preceded.withColumn("_at", F.explode(place)).select("*", "_at.*").drop("_at")
     met = spread.join(fronts, [*keys, "level", "node"]).filter((F.col("start") > F.col("_s")) & (F.col("start") <= F.col("_e")))
     before = met.select(
