@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import free_name
+
 TRIE_NODES = 1_000_000
 STABLE_PAIRS = 1_000_000
 #: Two generations of so many pieces are kept.
@@ -122,6 +124,7 @@ class PrefixTrie:
         self.child: dict[int, int] = {}
         self.last = [-1]
         self.before = [0]
+        self.start = [0]
 
     def _is_stable(self, left: int, right: int) -> bool:
         key = left << 32 | right
@@ -133,19 +136,19 @@ class PrefixTrie:
         return known
 
     def _last(self, word: bytes, path: list[int], depth: int) -> tuple[int, int]:
-        """The token that ends the first ``depth`` bytes, and the node before it."""
+        """The token that ends the first ``depth`` bytes, and the byte it starts at."""
         ids, last, stable = self.vocabulary.id_of, self.last, self.stable
-        longer = path.index(self.before[path[-1]]) if depth > 1 else 0  # most often the last token grows
+        longer = self.start[path[-1]]  # most often the last token grows
         for start in (longer, *range(max(0, depth - self.vocabulary.longest), depth)):
             token = ids.get(word[start:depth])
             if token is None:
                 continue
             if start == 0:
-                return token, 0
+                return token, start
             left = last[path[start]]
             known = stable.get(left << 32 | token)
             if known or known is None and self._is_stable(left, token):
-                return token, path[start]
+                return token, start
         raise ValueError("the vocabulary lacks single bytes")
 
     def _walk(self, word: bytes, path: list[int], done: int) -> None:
@@ -155,10 +158,11 @@ class PrefixTrie:
             edge = node << 8 | word[depth - 1]
             node = child.get(edge, 0)
             if not node:
-                token, before = self._last(word, path, depth)
+                token, start = self._last(word, path, depth)
                 node = child[edge] = len(self.last)
                 self.last.append(token)
-                self.before.append(before)
+                self.before.append(path[start])
+                self.start.append(start)
             path.append(node)
 
     def encode(self, words: list[bytes]) -> dict[bytes, list[int]]:
@@ -309,7 +313,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = True)
     added = [("ids", T.BinaryType()), ("n_tokens", T.LongType()), *([("decoded", T.StringType())] if decoded else [])]
     names = {name.lower() for name, _ in added}
     kept = [c for c in docs.columns if c.lower() not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text"))
+    body = F.col(f"`{text}`").cast("string").alias(free_name("_text", kept))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], body)
     schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(n, t) for n, t in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

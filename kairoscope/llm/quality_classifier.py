@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import free_name
+
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 6 << 20
 DICTIONARY_BYTES = 112_640
@@ -143,14 +145,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(*built, *calibrate(x, y))
 
 
-def free_name(wanted: str, columns: list[str]) -> str:
-    """The name, with underscores in front until no column has it."""
-    taken = {c.lower() for c in columns}
-    while wanted.lower() in taken:
-        wanted = f"_{wanted}"
-    return wanted
-
-
 def _groups(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive texts with about ``GROUP_BYTES`` together."""
     upto = np.cumsum(lengths) // GROUP_BYTES
