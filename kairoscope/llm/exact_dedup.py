@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
+from .names import hidden_name, hide, show
 
 #: Distinct content of a bucket's table. A bucket's own records come on top, a batch at a time.
 BUCKET_BYTES = 64 << 20
@@ -166,6 +167,8 @@ def leaf_buckets(sizes: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[Co
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of ``docs`` but the text, with ``keep_id``, ``group_size``, ``kept``
     and ``text_sha256``; one row per input row."""
+    docs, back = hide(docs)
+    key, text = hidden_name(key, back), hidden_name(text, back)
     taken = {"keep_id", "group_size", "kept", "text_sha256", text.lower()}
     kept = [c for c in docs.columns if c.lower() not in taken]
     normal = normalised(F.col(f"`{text}`").cast("string"))
@@ -186,8 +189,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
         F.unhex(F.sha2(normal.cast("binary"), 256)).alias("_digest"),
     ).withColumn("_copy", F.row_number().over(same_row))
     found = rows.join(groups.select(F.col("digest").alias("_digest"), "keep_id", "group_size"), "_digest")
-    return found.select(
+    found = found.select(
         *[F.col(f"`{c}`") for c in kept], "keep_id", "group_size",
         (F.col("_key").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"),
     )
+    return show(found, back)
