@@ -14,21 +14,26 @@ stratum with too few labels to certify anything rejects by the base rules alone.
 Only DataFrame functions are used. Counting happens inside the row; what is
 shuffled are the narrow rates of labelled documents and grouped counts. Null texts
 have no words and fail the base rules. Null languages form a stratum of their own;
-beyond the ``STRATA`` strata with most labels the rest is pooled as one. Labels that
+a stratum without labels is judged by the base rules, however many there are. Labels that
 are null, that contradict each other or that have no document are left out. Repeated
 rows are judged alike; an empty table gives an empty result, and without labels only
-the base rules reject. Result columns replace columns of the same name.
+the base rules reject. Result columns replace columns of the same name; other names
+may be any.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
+from .names import hidden_name, hide, show
+
 RISK = 0.05
 ERROR = 0.05
 GOOD_WEIGHT = 20
-STRATA = 1000
+#: Strata whose cutoffs are broadcast at most (some 100 bytes each); beyond it an ordinary join is used.
+BROADCAST_STRATA = 100_000
 MIN_WORDS = 50
 GRID = [0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 RATES = ["symbol_rate", "repeat_line_rate", "repeat_word_rate", "shout_rate", "upper_rate"]
@@ -68,6 +73,8 @@ def _repeated_positions(words: Column, packed: Column, mask: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base counts and the rates."""
+    docs, back = hide(docs)
+    text = hidden_name(text, back)
     taken = {*COUNTS, *RATES, "base_failed"}
     kept = [f"`{c}`" for c in docs.columns if c.lower() not in taken]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -115,7 +122,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "upper_rate": F.col("_upper") / some("word_chars"),
     }
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumns(rates).withColumn("base_failed", failed).drop("_shouts", "_upper", "_n_lines")
+    return show(rows.withColumns(rates).withColumn("base_failed", failed).drop("_shouts", "_upper", "_n_lines"), back)
 
 
 def _ln_factorial(n: Column) -> Column:
@@ -144,17 +151,11 @@ def ln_binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(0.0)).otherwise(first + F.log(total.sum + rest))
 
 
-def _strata(holdout: DataFrame, stratum: str) -> DataFrame:
-    """The strata with most good labels, at most ``STRATA`` rows."""
-    good = holdout.groupBy(F.col(stratum).alias("_named")).agg(F.sum("quality").alias("_good"))
-    return good.orderBy(F.desc("_good"), "_named").limit(STRATA).select("_named", F.lit(True).alias("_own"))
-
-
 def certify(
     measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", risk: float = RISK, error: float = ERROR
 ) -> DataFrame:
-    """Cutoffs: ``named`` (stratum), ``own`` (false: the pooled rest) and one column per
-    rate, null where nothing was certified. At most ``STRATA`` + 1 rows."""
+    """Cutoffs: ``named``, a stratum with labels, and one column per rate, null where
+    nothing was certified. Staged: one row per stratum."""
     known = labels.filter(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key)
     known = known.agg(F.min("quality").alias("quality"), F.max("quality").alias("_other")).filter("quality = _other")
     holdout = measured.select(key, F.col(f"`{stratum}`").cast("string").alias("_stratum"), *RATES).join(known.select(key, "quality"), key)
@@ -162,11 +163,8 @@ def certify(
     holdout = holdout.select(
         "_stratum", "quality", F.explode(F.array(*[F.struct(F.lit(c).alias("rate"), level(c).alias("level")) for c in RATES])).alias("x")
     )
-    counts = holdout.groupBy("_stratum", "quality", "x.rate", "x.level").agg(F.count("*").alias("n"))
-    named = _strata(counts.filter(F.col("rate") == RATES[0]).select("_stratum", (F.col("quality") * F.col("n")).alias("quality")), "_stratum")
-    counts = counts.join(F.broadcast(named), F.col("_stratum").eqNullSafe(F.col("_named")), "left")
-    counts = counts.withColumn("_own", F.coalesce("_own", F.lit(False)))
-    group = ["_named", "_own", "rate"]
+    counts = stage(holdout.groupBy("_stratum", "quality", "x.rate", "x.level").agg(F.count("*").alias("n")), "label-counts")
+    group = ["_stratum", "rate"]
     grid = F.explode(F.array(*[F.struct(F.lit(n + 1).alias("step"), F.lit(g).alias("cutoff")) for n, g in enumerate(GRID)])).alias("g")
     above = F.when(F.col("level") >= F.col("g.step"), F.col("n")).otherwise(0)
     is_good = F.col("quality") == 1
@@ -175,25 +173,25 @@ def certify(
         F.sum(F.when(is_good, above).otherwise(0)).alias("lost"),
         F.sum(F.when(~is_good, above).otherwise(0)).alias("caught"),
     )
-    strata = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) / (len(RATES) * len(GRID))
-    bound = F.log(F.lit(error)) - F.log(strata * len(RATES) * len(GRID))
+    strata = counts.select("_stratum").distinct().count()
+    bound = F.log(F.lit(error)) - F.log(F.lit(float(max(strata, 1) * len(RATES) * len(GRID))))
     tests = tests.withColumn("certain", ln_binomial_tail(F.col("lost"), F.col("good"), risk / len(RATES)) <= bound)
     gain = F.col("caught") - GOOD_WEIGHT * F.col("lost")
     useful = F.when(F.col("certain") & (gain > 0), F.struct(gain.alias("gain"), "cutoff"))
-    best = tests.groupBy("_named", "_own").pivot("rate", RATES).agg(F.max(useful)["cutoff"])
-    return best.select(F.col("_named").alias("named"), F.col("_own").alias("own"), *RATES)
+    best = tests.groupBy("_stratum").pivot("rate", RATES).agg(F.max(useful)["cutoff"])
+    return stage(best.select(F.col("_stratum").alias("named"), *RATES), "cutoffs")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``measured`` with ``kept``; ``cutoffs`` has at most ``STRATA`` + 1 rows."""
-    names = [F.col(c).alias(f"_cut_{c}") for c in RATES]
-    own = cutoffs.filter("own").select(F.col("named").alias("_named"), F.lit(True).alias("_own"), *names)
-    pooled = cutoffs.filter("not own").select(*[F.col(c).alias(f"_pool_{c}") for c in RATES], F.lit(False).alias("_pooled"))
-    joined = measured.join(F.broadcast(own), F.col(f"`{stratum}`").cast("string").eqNullSafe(F.col("_named")), "left")
-    joined = joined.withColumn("_is_pooled", F.coalesce("_own", F.lit(False)))
-    joined = joined.join(F.broadcast(pooled), F.col("_is_pooled") == F.col("_pooled"), "left")
-    over = [F.coalesce(F.col(c) > F.coalesce(f"_cut_{c}", f"_pool_{c}"), F.lit(False)) for c in RATES]
+    """``measured`` with ``kept``; strata without cutoffs are judged by the base rules."""
+    measured, back = hide(measured)
+    stratum = hidden_name(stratum, back)
+    own = cutoffs.select(F.col("named").alias("_named"), *[F.col(c).alias(f"_cut_{c}") for c in RATES])
+    own = F.broadcast(own) if cutoffs.count() <= BROADCAST_STRATA else own
+    joined = measured.join(own, F.col(f"`{stratum}`").cast("string").eqNullSafe(F.col("_named")), "left")
+    over = [F.coalesce(F.col(c) > F.col(f"_cut_{c}"), F.lit(False)) for c in RATES]
     rejected = F.col("base_failed")
     for rule in over:
         rejected = rejected | rule
-    return joined.withColumn("kept", ~rejected).select(*[f"`{c}`" for c in measured.columns if c.lower() != "kept"], "kept")
+    kept = [f"`{c}`" for c in measured.columns if c.lower() != "kept"]
+    return show(joined.withColumn("kept", ~rejected).select(*kept, "kept"), back)

@@ -60,14 +60,22 @@ def test_cutoffs_keep_good_documents(spark):
     assert none.filter("kept").count() == 6000
 
 
-def test_pooled_strata(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "STRATA", 1)
-    rows = [(n, f"l{n % 4}" if n % 3 else "main", 0.35 if n % 5 == 0 else 0.0, int(n % 5 > 0)) for n in range(9000)]
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_many_strata(spark, monkeypatch, most):
+    """Every stratum has its own bound, however many there are; few labels or none leave the base rules."""
+    monkeypatch.setattr(quality_rules, "BROADCAST_STRATA", most)
+    rows = [(n, "main" if n % 3 else f"l{n}", 0.35 if n % 5 == 0 else 0.0, int(n % 5 > 0)) for n in range(9000)]
     table = spark.createDataFrame(rows, "doc_id long, lang string, symbol_rate double, quality int")
     measured = table.select("doc_id", "lang", F.lit(False).alias("base_failed"), "symbol_rate", *[F.lit(0.0).alias(c) for c in quality_rules.RATES[1:]])
-    cutoffs = quality_rules.certify(measured, table.select("doc_id", "quality"))
-    assert sorted((r.named or "", r.own) for r in cutoffs.collect()) == [("", False), ("main", True)]
-    assert quality_rules.judge(measured, cutoffs).filter("kept").count() == 7200
+    measured = measured.withColumns({"_own": F.lit(1), "_cut_symbol_rate": F.lit(2.0), "kept": F.lit("clash")})
+    labels = table.filter("lang = 'main' or doc_id < 6000").select("doc_id", "quality")
+    cutoffs = quality_rules.certify(measured, labels)
+    assert {r.named: r.symbol_rate for r in cutoffs.collect() if r.symbol_rate is not None} == {"main": 0.3}
+    assert cutoffs.count() == 2001
+    judged = quality_rules.judge(measured, cutoffs)
+    assert judged.columns == measured.columns
+    dropped = {r.doc_id for r in judged.filter("not kept").collect()}
+    assert dropped == {n for n, lang, rate, _ in rows if lang == "main" and rate}
 
 
 def test_classifier_separates_held_out(spark):
