@@ -227,17 +227,21 @@ def _may_be_similar(x: Column, y: Column) -> Column:
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: the key under its name, ``class_key`` (the smallest key of
-    its class), ``class_size`` in rows and ``class_texts`` in different texts."""
+    its class), ``class_size`` in rows, ``class_texts`` in different texts and ``kept``, true
+    for one row of each class."""
     texts = _texts(docs, key, text)
     rows = _hashed(texts, "key", "c")
     keys = T.StructField("bands", T.ArrayType(T.LongType()))
-    sketched = stage(rows.mapInArrow(_sketch, T.StructType([*rows.schema.fields[:-1], keys])), "sketches")
+    sketched = rows.mapInArrow(_sketch, T.StructType([*rows.schema.fields[:-1], keys]))
+    # The written numbers tell rows apart that are equal in key and text.
+    sketched = stage(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    first = F.struct(F.col("key").isNull().alias("no_key"), "key", "row")
     contents = sketched.filter("c is not null").groupBy("c")
-    contents = stage(contents.agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "contents")
+    contents = stage(contents.agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "contents")
     placed = contents.select("c", F.explode("bands").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = stage(placed.join(sizes, "bucket"), "shared")
-    nodes = stage(contents.join(shared.select("c").distinct(), "c").select("c", "least"), "nodes")
+    nodes = stage(contents.join(shared.select("c").distinct(), "c").select("c", F.col("first.key").alias("least")), "nodes")
 
     # Shingle sets of the contents that have candidates, from the row with the smallest key.
     wanted = nodes.select("c", F.col("least").alias("_least"))
@@ -247,13 +251,17 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     sets = stage(asked.mapInArrow(_sets, T.StructType([asked.schema["c"], elements])), "sets")
 
     found = linked(shared, lambda pairs: _verified(pairs, sets), facts=lambda open_: _own_shingles(sets, open_), bound=_may_be_similar)
-    classes = contents.select("c", "least", "copies").join(found.withColumnRenamed("node", "c"), "c", "left")
-    classes = stage(classes.select("c", "least", "copies", F.coalesce("root", "c").alias("root")), "classes")
+    classes = contents.select("c", "first", "copies").join(found.withColumnRenamed("node", "c"), "c", "left")
+    classes = stage(classes.select("c", "first", "copies", F.coalesce("root", "c").alias("root")), "classes")
     heads = classes.groupBy("root").agg(
-        F.min("least").alias("class_key"), F.sum("copies").alias("class_size"), F.count("*").alias("class_texts")
+        F.min("first").alias("head"), F.sum("copies").alias("class_size"), F.count("*").alias("class_texts")
     )
-    named = classes.join(heads, "root").select("c", "class_key", "class_size", "class_texts")
-    found = sketched.filter("c is not null").select("key", "c").join(named, "c").drop("c")
+    named = classes.join(heads, "root").select("c", "head", "class_size", "class_texts")
+    found = sketched.filter("c is not null").select("key", "row", "c").join(named, "c").select(
+        "key", F.col("head.key").alias("class_key"), "class_size", "class_texts", (F.col("row") == F.col("head.row")).alias("kept")
+    )
     one = F.lit(1).cast("long")
-    blank = sketched.filter("c is null").select("key", F.col("key").alias("class_key"), one.alias("class_size"), one.alias("class_texts"))
+    blank = sketched.filter("c is null").select(
+        "key", F.col("key").alias("class_key"), one.alias("class_size"), one.alias("class_texts"), F.lit(True).alias("kept")
+    )
     return found.unionByName(blank).withColumnRenamed("key", key)

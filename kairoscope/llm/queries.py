@@ -107,7 +107,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = minhash.near_classes(docs)
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_key"))).withColumnRenamed("class_key", "class_id")
+    return found.withColumnRenamed("class_key", "class_id")
 
 
 @query("op2_line_dedup")
