@@ -134,6 +134,6 @@ def test_fuzzy_lines(docs):
         by.setdefault((r.doc_id, r.line_no), []).append(r)
     assert len(got) == 2 + 2 + 4 + 4 + 1 + 1 + 1
     assert not by[1, 0][0].kept and by[None, 0][0].kept and by[2, 1][0].group_lines == 3  # null keys sort first
-    assert by[1, 1][0].kept and by[3, 0][0].kept and by[3, 2][0].kept
+    assert by[1, 1][0].kept and sum(r.kept for r in by[3, 0]) == 1 and by[3, 2][0].kept  # one of repeated rows
     assert by[2, 0][0].kept and by[3, 1][0].keep_key == 2 and by[3, 1][0].group_texts == 2 and not by[3, 1][1].kept
     assert line_dedup.fuzzy_lines(docs([])).collect() == []
