@@ -99,11 +99,14 @@ def a3(spark, d):
     "a5_frame_counters",
     """with h as (select label, vec_id, vec_id * vec_id % 256 p, lag(vec_id * vec_id % 256) over (partition by label order by vec_id) q from embeddings)
     select label::bigint video_id, count(*) frames_sampled, count(*) filter (q is null or bit_count(xor(p, q)) > 2) frames_kept,
-      count(*) filter ((q is null or bit_count(xor(p, q)) > 2)) frames_embedded,
+      count(*) filter ((q is null or bit_count(xor(p, q)) > 2) and vec_id in (select doc_id from labels)) frames_embedded,
       round(1 - count(*) filter (q is null or bit_count(xor(p, q)) > 2) / count(*), 6) dedup_ratio from h group by label""",
 )
 def a5(spark, d):
-    kept = temporal.dedup_adjacent(V.hashes(spark, d), ["frame_id"], 2).withColumn("embedded", F.lit(True))
+    kept = temporal.dedup_adjacent(V.hashes(spark, d), ["frame_id"], 2)
+    # The index holds the frames that have a label.
+    index = table(spark, d, "labels").select(F.col("doc_id").alias("frame_id"))
+    kept = audit.with_embedded(kept, index)
     return rounded(longs(audit.frame_counters(kept), "video_id"), "dedup_ratio")
 
 

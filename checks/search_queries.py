@@ -232,8 +232,8 @@ def v12(spark, d):
     return longs(out, "final_rank")
 
 
-# Coarse index: every frame stored at an even whole second; the fine index holds all frames.
-COARSE = "coarse as (select * from frames where ts = floor(ts / 2) * 2)"
+# Coarse index: every frame by the first half of its vector; the fine index holds the whole vectors.
+COARSE = f"""coarse as (select * replace (list_transform(embedding, lambda x, i: case when i <= {V.DIM // 2} then x else 0.0 end) as embedding) from frames)"""
 BOUNDED = """visited as (
   select *, event_rank * 16.0 seconds_used from (
     select *, row_number() over (partition by query_id order by score desc, frame_id) event_rank,
@@ -242,7 +242,8 @@ BOUNDED = """visited as (
 
 
 def _coarse_events(spark, d):
-    coarse = V.vectors(spark, d).filter(F.col("timestamp") == F.floor(F.col("timestamp") / 2) * 2)
+    half = F.transform("embedding", lambda x, i: F.when(i < V.DIM // 2, x).otherwise(F.lit(0.0).cast("float")))
+    coarse = V.vectors(spark, d).withColumn("embedding", half)
     hits = retrieval.top_k(coarse, _text_vectors(spark, d), P.top_k)
     return temporal.representatives(temporal.group_events(hits, P.group_window_s))
 
@@ -581,16 +582,23 @@ def s6(spark, d):
     return sinks.export_lines(_export_rows(spark, d), "csv").select("query_id", "frame_id", "line")
 
 
-@query(
-    "s5_export_json",
-    f"""{SHAPED}, framed as (
+JSON_FRAMES = f"""framed as (
       select query_id, frame_id, '[' || string_agg('{{"frame_id":' || to_json(nf) || ',"timestamp":' || {S.number('nt')} || ',"timestamp_hms":'
         || to_json({S.hms('nt')}) || ',"frame_url":' || to_json('frames/' || video_id || '/' || nf || '.jpg') || '}}', ',' order by nt, nf) || ']' frames_json
-      from ctx_frames join (select query_id, frame_id, video_id from joined) using (query_id, frame_id) group by query_id, frame_id)
-    select query_id, frame_id, '{{"query":' || to_json(query) || ',"media":' || to_json(filename) || ',"media_type":' || to_json(media_type)
+      from ctx_frames join (select query_id, frame_id, video_id from joined) using (query_id, frame_id) group by query_id, frame_id)"""
+
+
+def _json_line(stage):
+    return f"""'{{"query":' || to_json(query) || ',"media":' || to_json(filename) || ',"media_type":' || to_json(media_type)
       || ',"timestamp":' || {JS_NUMBERS['ts']} || ',"start":' || coalesce({JS_NUMBERS['cs']}, 'null') || ',"end":' || coalesce({JS_NUMBERS['ce']}, 'null')
-      || ',"score":' || {JS_NUMBERS['sim']} || ',"frame_id":' || to_json(frame_id) || ',"retrieval_stage":"coarse","context_frames":' || frames_json
-      || ',"reason":' || to_json(reason) || ',"context":' || to_json({CONTEXT_SQL}) || '}}' line
+      || ',"score":' || {JS_NUMBERS['sim']} || ',"frame_id":' || to_json(frame_id) || ',"retrieval_stage":"{stage}","context_frames":' || frames_json
+      || ',"reason":' || to_json(reason) || ',"context":' || to_json({CONTEXT_SQL}) || '}}'"""
+
+
+@query(
+    "s5_export_json",
+    f"""{SHAPED}, {JSON_FRAMES}
+    select query_id, frame_id, {_json_line('coarse')} line
     from shaped join framed using (query_id, frame_id)""",
 )
 def s5(spark, d):
@@ -634,14 +642,15 @@ def s9(spark, d):
 
 @query(
     "s8_export_all",
-    f"""{SHAPED} select 'csv' format, frame_id, concat_ws(',', {S.csv('query')}, {S.csv('filename')}, media_type, {JS_NUMBERS['ts']},
+    f"""{SHAPED}, {JSON_FRAMES} select 'csv' format, frame_id, concat_ws(',', {S.csv('query')}, {S.csv('filename')}, media_type, {JS_NUMBERS['ts']},
       coalesce({JS_NUMBERS['cs']}, ''), coalesce({JS_NUMBERS['ce']}, ''), {JS_NUMBERS['sim']}, {S.csv('reason')}) line from shaped
-    union all select 'txt', frame_id, {CONTEXT_SQL} from shaped""",
+    union all select 'txt', frame_id, {CONTEXT_SQL} from shaped
+    union all select 'json', frame_id, {_json_line('saved')} from shaped join framed using (query_id, frame_id)""",
 )
 def s8(spark, d):
     saved = sinks.saved_as_results(stage(sinks.saved_context_rows(_export_rows(spark, d)), "saved"))
-    parts = [sinks.export_lines(saved, f).select(F.lit(f).alias("format"), "frame_id", "line") for f in ("csv", "txt")]
-    return parts[0].unionByName(parts[1])
+    parts = [sinks.export_lines(saved, f).select(F.lit(f).alias("format"), "frame_id", "line") for f in ("csv", "txt", "json")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("f13_reason", f"{SHAPED} select query_id, frame_id, reason from shaped")

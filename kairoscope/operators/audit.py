@@ -176,6 +176,12 @@ def health(status: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def with_embedded(frames: DataFrame, index: DataFrame, key: str = "frame_id") -> DataFrame:
+    """``frames`` with ``embedded``: whether the index holds the frame."""
+    held = index.select(key).distinct().withColumn("embedded", F.lit(True))
+    return frames.drop("embedded").join(held, key, "left").withColumn("embedded", F.coalesce("embedded", F.lit(False)))
+
+
 def frame_counters(frames: DataFrame) -> DataFrame:
     """Sampled, kept and embedded frames per item and the share removed as duplicates."""
     counted = frames.groupBy("video_id").agg(

@@ -63,23 +63,12 @@ def export_lines(results: DataFrame, fmt: str) -> DataFrame:
 
 
 def export_contexts(results: DataFrame, fmt: str, path: str) -> None:
-    """Write all records as text; each CSV part file starts with the header line."""
+    """Write all records as text. The first part of a CSV export is its header line, once,
+    also when there is no record: the parts in order of their names are one file."""
     lines = export_lines(results, fmt).select("line")
     if fmt == "csv":
-        header = X.CSV_HEADER
-
-        def headed(batches):
-            import pyarrow as pa
-
-            first = True
-            for batch in batches:
-                if first and batch.num_rows:
-                    top = pa.array([header], batch.schema.field(0).type)
-                    yield pa.RecordBatch.from_arrays([top], schema=batch.schema)
-                    first = False
-                yield batch
-
-        lines = lines.mapInArrow(headed, "line string")
+        header = results.sparkSession.range(0, 1, 1, 1).select(F.lit(X.CSV_HEADER).alias("line"))
+        lines = header.unionByName(lines)
     lines.write.text(path)
 
 

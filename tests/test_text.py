@@ -103,6 +103,15 @@ def test_csv_line_and_file(spark, tmp_path):
     sinks.export_contexts(df.coalesce(1), "csv", str(tmp_path / "out"))
     written = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert written[0] == X.CSV_HEADER and sorted(written[1:]) == sorted(lines)
+    for name, part in {"many": df.repartition(3), "none": df.limit(0)}.items():
+        for fmt in ("csv", "json", "txt"):
+            place = tmp_path / f"{name}-{fmt}"
+            sinks.export_contexts(part, fmt, str(place))
+            whole = "".join(file.read_text() for file in sorted(place.glob("part-*")))
+            records = [r["line"] for r in sinks.export_lines(part, fmt).select("line").collect()]
+            head = f"{X.CSV_HEADER}\n" if fmt == "csv" else ""
+            assert whole.startswith(head) and len(whole) == len(head) + sum(len(r) + 1 for r in records)
+            assert all(r in whole for r in records)
 
 
 def test_copy_all_numbers_by_rank(spark):
