@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kairoscope.functions import text as X
-from kairoscope.operators import audit, filters, intervals, temporal
+from kairoscope.operators import audit, filters, intervals, near_frames, temporal
 from kairoscope.plans import reports
 from kairoscope.staging import stage
 
@@ -309,6 +309,17 @@ def w12(spark, d):
     return temporal.content_copies(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(
+    "w12_near_frames",
+    f"""with {S.SIGNS}, c as (select phash, min(frame_id) first_id, count(*) copies from s group by phash), n as (
+      select a.phash, count(*) near_classes, sum(b.copies) near from c a join c b on a.phash <> b.phash and bit_count(xor(a.phash, b.phash)) <= 5 group by a.phash)
+    select frame_id, phash, first_id, copies, coalesce(near_classes, 0) near_classes, (coalesce(near, 0) + copies - 1)::bigint n_near
+    from s join c using (phash) left join n using (phash)""",
+)
+def w12_near(spark, d):
+    return near_frames.near_frames(V.sign_hashes(spark, d), distance=5)
+
+
 CACHE = """cache as (select user_id video_id, epoch_us(ts) / 1000000.0::double s, epoch_us(ts) / 1000000.0::double + value * 60 e, event_type <> 'error' fits, event_type <> 'signup' complete from events)"""
 
 

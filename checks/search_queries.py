@@ -241,10 +241,13 @@ BOUNDED = """visited as (
   where event_rank <= 10 and event_rank * 16.0 <= 160 and frames_used <= 20)"""
 
 
-def _coarse_events(spark, d):
+def _coarse(spark, d):
     half = F.transform("embedding", lambda x, i: F.when(i < V.DIM // 2, x).otherwise(F.lit(0.0).cast("float")))
-    coarse = V.vectors(spark, d).withColumn("embedding", half)
-    hits = retrieval.top_k(coarse, _text_vectors(spark, d), P.top_k)
+    return V.vectors(spark, d).withColumn("embedding", half)
+
+
+def _coarse_events(spark, d):
+    hits = retrieval.top_k(_coarse(spark, d), _text_vectors(spark, d), P.top_k)
     return temporal.representatives(temporal.group_events(hits, P.group_window_s))
 
 
@@ -341,6 +344,60 @@ def v16_accurate(spark, d):
     return _result_view(_results(spark, d, "accurate"))
 
 
+# Accurate mode in full: coarse and fine vectors, rerank, and an external permutation of the shortlist.
+FINE = f"""qfull as (select query_id, embedding from cvec where component = 0), fine as (
+      select v.query_id, v.video_id, v.event_index, f.frame_id, f.ts, {S.cos('f.embedding', 'q.embedding')} raw,
+        round((1 + {S.cos('f.embedding', 'q.embedding')}) / 2, 12) score
+      from visited v join frames f on f.video_id = v.video_id and f.ts between v.ts - 8 and v.ts + 8 join qfull q using (query_id)),
+    best as (select * from fine qualify row_number() over (partition by query_id, video_id, event_index order by score desc, ts, frame_id) = 1),
+    merged as (
+      select r.* replace (if(b.score > r.score, b.frame_id, r.frame_id) as frame_id, if(b.score > r.score, b.ts, r.ts) as ts,
+          if(b.score > r.score, b.raw, r.raw) as raw, if(b.score > r.score, b.score, r.score) as score),
+        if(b.score > r.score, 'fine', 'coarse') retrieval_stage
+      from reps r left join best b using (query_id, video_id, event_index)
+      qualify row_number() over (partition by r.query_id, if(b.score > r.score, b.frame_id, r.frame_id) order by r.event_index) = 1)"""
+PERMUTED = """offered as (
+      select query_id, frame_id, case when contains(query, 'with') then row_number() over (partition by query_id order by ts, frame_id)
+        else dense_rank() over (partition by query_id order by video_id) end new_rank
+      from ranked join queries using (query_id) where contains(lower(query), 'the')),
+    verdict as (
+      select query_id, if(count(distinct new_rank) = count(*) and max(new_rank) = count(*), 'applied', 'skipped') rerank from offered group by query_id),
+    top as (select * from (
+      select r.* exclude (rank), coalesce(rerank, 'unavailable') rerank,
+        row_number() over (partition by query_id order by if(rerank = 'applied', new_rank, rank), frame_id) as rank
+      from ranked r left join verdict using (query_id) left join offered using (query_id, frame_id)) where rank <= 5)"""
+FULL = f"""with {S.MEDIA}, {COARSE}, {S.CVEC}, {S.fused('max', frames='coarse')}, {S.events()}, {S.reps()}, {BOUNDED}, {FINE},
+    {S.reranked('merged')}, {PERMUTED}, {_result_sql('top', 'final_score')}"""
+
+
+def _offer(spark, d):
+    """A stand-in for an external reranker: by time for some queries, no permutation for others, nothing for the rest."""
+    texts = V.text_queries(spark, d)
+
+    def answer(shortlist):
+        from pyspark.sql import Window
+
+        w = Window.partitionBy("query_id")
+        by_time = F.row_number().over(w.orderBy("timestamp", "frame_id"))
+        by_video = F.dense_rank().over(w.orderBy("video_id"))
+        asked = shortlist.join(texts, "query_id").filter(F.lower("query").contains("the"))
+        return asked.select("query_id", "frame_id", F.when(F.col("query").contains("with"), by_time).otherwise(by_video).alias("new_rank"))
+
+    return answer
+
+
+@query("v16_accurate_reranked", f"{FULL} {RESULT_SQL.replace(' reason' + chr(10), ' reason, retrieval_stage, rerank' + chr(10))}")
+def v16_reranked(spark, d):
+    stamps = {name: F.lit(value) for name, value in V.STAMPS.items()}
+    found = search.search_moments(
+        _coarse(spark, d).withColumns(stamps), V.text_queries(spark, d), V.media(spark, d), SearchParams(fine_max_frames=20),
+        "accurate", dim=V.DIM, stamps=V.STAMPS, fine_vectors=V.vectors(spark, d).withColumns(stamps), permutation=_offer(spark, d),
+    )
+    found = stage(found.withColumn("rerank", F.col("trace")["rerank"]), "results")
+    extra = found.select("query_id", "frame_id", "retrieval_stage", "rerank")
+    return _result_view(found).join(extra, ["query_id", "frame_id"])
+
+
 @query(
     "v16_metadata_mode",
     f"with {S.MEDIA} select video_id, filename from media where contains(lower(filename), 'clip') and (contains(lower(filename), 'mp4') or media_type = 'mp4')",
@@ -495,6 +552,29 @@ for _sort, _expr in (("relevance", "final_score"), ("timestamp", "ts"), ("upload
         return longs(ranking.order_results(scored, sort, "asc").select("query_id", "frame_id", "rank"), "rank")
 
 
+@query(
+    "w7_spread_context",
+    f"""{REPS}, joined as (select r.*, m.duration from reps r join media m using (video_id)), {S.context('joined')}, {S.SIGNS},
+    seen as (
+      select query_id, c.frame_id, nf, nt, phash, nf = c.frame_id own, row_number() over (partition by query_id, c.frame_id order by nf <> c.frame_id, nt, nf) r
+      from ctx_frames c join s on s.frame_id = nf::bigint),
+    listed as (select query_id, frame_id, list([{{'h': phash, 'f': nf, 't': nt}}] order by r) l from seen group by query_id, frame_id),
+    folded as (select query_id, frame_id, list_reduce(l, lambda kept, x: case when list_bool_or(list_transform(kept, lambda k: bit_count(xor(k.h, x[1].h)) <= 8)) then kept else list_concat(kept, x) end) kept from listed)
+    select query_id, frame_id, n::bigint n_frames, frame_list from (
+      select query_id, frame_id, count(*) n, string_agg(k.f, ',' order by k.t, k.f) frame_list
+      from (select query_id, frame_id, unnest(kept) k from folded) group by query_id, frame_id)
+    join joined using (query_id, frame_id) where media_type = 'video'""",
+)
+def w7_spread(spark, d):
+    facts = V.media(spark, d).select("video_id", F.col("duration_seconds").alias("duration"))
+    moments = _moments(spark, d).join(facts, "video_id").filter(F.col("media_type") == "video")
+    signs = V.sign_hashes(spark, d).select(F.col("frame_id").cast("string").alias("frame_id"), "phash")
+    frames = V.vectors(spark, d).select("frame_id", "video_id", "timestamp").join(signs, "frame_id")
+    out = context.with_context(moments, frames, near_bits=8)
+    ids = F.transform("context_frames", lambda f: f["frame_id"])
+    return out.select("query_id", "frame_id", F.size(ids).cast("long").alias("n_frames"), F.array_join(ids, ",").alias("frame_list"))
+
+
 @query("o3_final_results", f"{FAST} select query_id, frame_id, rank::bigint as rank from top")
 def o3(spark, d):
     out = ranking.order_results(_moments(spark, d).withColumn("final_score", F.col("score")), final_results=5)

@@ -17,6 +17,11 @@ MEDIA = FRAMES + """, media as (
          make_timestamp((1704067200 + (min(frame_id::bigint) % 30) * 86400) * 1000000) uploaded_at
   from frames group by video_id, media_type)"""
 
+# A 24-bit hash of a frame: the signs of the first values of its embedding.
+SIGNS = """s as (
+  select vec_id frame_id, list_sum(list_transform(range(24), lambda i: case when embedding[i + 1] > 0 then 1::bigint << i else 0 end))::bigint phash
+  from embeddings)"""
+
 QUERIES = """queries as (
   select cast(item_id as varchar) query_id, trim(text, e' \\t\\r\\n\\f\\v') query
   from benchmark where trim(text, e' \\t\\r\\n\\f\\v') <> '')"""
@@ -66,13 +71,13 @@ def hits(queries: str, k: int = 50, where: str = "true", out: str = "hits", fram
   qualify rank <= {k})"""
 
 
-def fused(method: str, boost: float = 1.2, k: int = 50) -> str:
+def fused(method: str, boost: float = 1.2, k: int = 50, frames: str = "frames") -> str:
     combine = "max" if method == "max" else "sum"
     return f"""weighted as (
   select s.*, round((1 + raw) / 2 * case when n > 1 and component = 0 then {boost} else 1 end, 12) w from (
     select c.query_id, c.component, f.frame_id, f.video_id, f.media_type, f.ts,
            {cos('f.embedding', 'c.embedding')} raw
-    from frames f cross join cvec c) s join (select query_id, count(*) n from cvec group by 1) using (query_id)),
+    from {frames} f cross join cvec c) s join (select query_id, count(*) n from cvec group by 1) using (query_id)),
 picked as (
   select *, {'w' if method == 'max' else 'total'} score from (
     select *, round(sum(w) over (partition by query_id, frame_id), 12) total,

@@ -159,6 +159,16 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def sign_hashes(spark: SparkSession, d: str, bits: int = 24) -> DataFrame:
+    """A perceptual hash of each frame: the signs of the first values of its embedding."""
+    one = F.lit(1).cast("long")
+    signs = [F.when(F.col("embedding")[i] > 0, F.shiftleft(one, i)).otherwise(F.lit(0).cast("long")) for i in range(bits)]
+    phash = signs[0]
+    for sign in signs[1:]:
+        phash = phash.bitwiseOR(sign)
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), phash.alias("phash"))
+
+
 def users(spark: SparkSession, d: str) -> DataFrame:
     role = (
         F.when(F.col("c_mktsegment") == "MACHINERY", "ADMIN")

@@ -142,6 +142,12 @@ def merge_fine(coarse: DataFrame, fine: DataFrame) -> DataFrame:
     return joined.select(*rest, *picked, stage)
 
 
+def one_per_frame(moments: DataFrame) -> DataFrame:
+    """Where a fine search moved several moments to one frame, the earlier event, then the better rank, keeps it."""
+    w = Window.partitionBy("query_id", "frame_id").orderBy("event_index", "rank")
+    return moments.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_n")
+
+
 def bound_events(events: DataFrame, max_events: int, max_seconds: float, max_frames: int) -> DataFrame:
     """Events a fine search may visit: best first until any budget is used up.
 
@@ -172,6 +178,8 @@ def with_trace(hits: DataFrame, stamps: dict[str, str]) -> DataFrame:
         ("group_event_index", F.col("event_index").cast("string")),
     ):
         pairs += [F.lit(key), column]
+    if "rerank" in hits.columns:  # what became of an external permutation
+        pairs += [F.lit("rerank"), F.col("rerank")]
     for key, value in stamps.items():
         pairs += [F.lit(key), F.lit(value)]
     return hits.withColumn("trace", F.create_map(*pairs))

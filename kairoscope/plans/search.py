@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,14 +99,16 @@ def search_moments(
     *,
     dim: int = 64,
     fine_vectors: DataFrame | None = None,
-    permutation: DataFrame | None = None,
+    permutation: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     stamps: dict[str, str] | None = None,
 ) -> DataFrame:
     """``queries`` (query_id, query) to ranked results with the 26 result fields.
 
     ``fast``: retrieval and grouping. ``accurate``: expansion, fine search where
     ``fine_vectors`` are given, deterministic rerank, and an external
-    ``permutation`` where valid, which takes the place of relevance in sorting.
+    ``permutation`` where valid, which takes the place of relevance in sorting. It is a
+    table (query_id, frame_id, new_rank) or a function that makes one from the ranked
+    shortlist, as an external reranker does; ``trace`` says what became of it.
     ``stamps`` name the model the queries were embedded with. Vectors of another one, and
     vectors that do not say, are refused; ``allow_model_mismatch`` leaves foreign vectors out
     and lets unstamped ones pass. ``metadata`` mode is :func:`search_metadata`.
@@ -119,6 +123,7 @@ def search_moments(
         # Read twice below; staged so that the vectors are scanned once.
         found = stage(found, "events")
         found = ranking.merge_fine(found, fine_candidates(found, fine_vectors, comps, p))
+        found = ranking.one_per_frame(found)
     found = ranking.normalize(found, p.normalization)
     if accurate:
         found = ranking.rerank(found, p.rerank)
@@ -127,6 +132,10 @@ def search_moments(
     if permutation is not None:
         # Ranks without gaps first, so that an unused permutation leaves the plain order.
         found = ranking.order_results(found.drop("rank"))
+        if callable(permutation):
+            # Read by the reranker and by the join with its answer.
+            found = stage(found, "shortlist")
+            permutation = permutation(found)
         found = ranking.accept_permutation(found, permutation).drop("rank")
     if p.sort_by == "upload_date":
         # A moment whose media row is missing has no date and comes last.

@@ -181,3 +181,46 @@ def test_json_numbers(spark):
     line = df.select(X.result_json()).first()[0]
     assert '"timestamp":12,' in line and '"start":1e-7,' in line and json.loads(line)["end"] is None
     assert json.loads(line)["media"] == 'a "b"' and json.loads(line)["context_frames"][0]["timestamp"] == 12
+
+
+def test_reranker_gets_the_shortlist(index):
+    """A function of the shortlist gives the same results as the table it would make."""
+    vectors, media, queries = index
+    p = SearchParams(final_results=4)
+    seen = []
+
+    def backwards(shortlist):
+        seen.append(shortlist.count())
+        return shortlist.select("query_id", "frame_id", (F.lit(seen[0] + 1) - F.col("rank")).alias("new_rank"))
+
+    plain = search(vectors, queries, media, SearchParams(final_results=50), "fast", dim=32).collect()
+    want = [r["frame_id"] for r in sorted(plain, key=lambda r: -r["rank"])][:4]
+    got = sorted(search(vectors, queries, media, p, "fast", dim=32, permutation=backwards).collect(), key=lambda r: r["rank"])
+    assert seen == [len(plain)] and [r["frame_id"] for r in got] == want
+    assert {r["trace"]["rerank"] for r in got} == {"applied"}
+
+
+def test_events_that_meet_in_a_fine_frame_give_one_result(index, spark):
+    vectors, media, queries = index
+    near = [("c1", "v0", "video", 10.0, "red"), ("c2", "v0", "video", 21.0, "red")]
+    fine = [("best", "v0", "video", 15.0, "red car"), ("far", "v0", "video", 400.0, "tree")]
+    schema = "frame_id string, video_id string, media_type string, timestamp double, words string"
+    embedded = lambda rows: embed_text(spark.createDataFrame(rows, schema), "words", 32).drop("words")
+    got = search(embedded(near), queries, media, SearchParams(), "accurate", dim=32, fine_vectors=embedded(fine)).collect()
+    assert [(r["frame_id"], r["retrieval_stage"]) for r in got] == [("best", "fine")]
+
+
+def test_alike_frames_do_not_fill_the_context(spark):
+    moments = spark.createDataFrame(
+        [("q", "f4", "v", 8.0, 100.0, "video")],
+        "query_id string, frame_id string, video_id string, timestamp double, duration double, media_type string",
+    )
+    hashes = [0b0, 0b1, 0b1111000, 0b1111001, 0b0, 0b11, 0b1111000, None, 0b110000000]
+    rows = [(f"f{i}", "v", 2.0 * i, h) for i, h in enumerate(hashes)]
+    frames = spark.createDataFrame(rows, "frame_id string, video_id string, timestamp double, phash long")
+    shown = lambda **kw: [f["frame_id"] for f in context.with_context(moments, frames, bins=9, **kw).first()["context_frames"]]
+    assert shown() == [f"f{i}" for i in range(9)]
+    # f0, f1 and f5 are like the match, f3 and f6 like f2; f8 is at 2 bits of the match.
+    assert shown(near_bits=2) == ["f2", "f4", "f7"]
+    assert shown(near_bits=1) == ["f2", "f4", "f5", "f7", "f8"]
+    assert shown(near_bits=0) == ["f1", "f2", "f3", "f4", "f5", "f7", "f8"]
