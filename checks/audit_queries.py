@@ -77,6 +77,24 @@ def a15(spark, d):
     return audit.completion_violations(done)
 
 
+@query(
+    "a2_merged_sketches",
+    """select event_type mode, count(value) "count", round(avg(value), 6) mean, true p95_within_a_percent
+      from events where ts is not null group by event_type""",
+)
+def a2_sketches(spark, d):
+    history = V.history(spark, d)
+    windows = stage(audit.latency_sketches(history, ["mode"], "created_at", "latency_ms", "1 day"), "sketches")
+    merged = audit.merged_latency(windows, ["mode"])
+    below = F.avg((F.col("latency_ms") < F.col("p95")).cast("double"))
+    upto = F.avg((F.col("latency_ms") <= F.col("p95")).cast("double"))
+    # The true share of values below the estimate; equal values cover a span of ranks.
+    close = history.join(F.broadcast(merged), "mode").groupBy("mode").agg(
+        ((below <= 0.96) & (upto >= 0.94)).alias("p95_within_a_percent")
+    )
+    return rounded(merged.select("mode", "count", "mean").join(close, "mode"), "mean")
+
+
 @query(
     "a2_latency_histogram",
     """select event_type mode, count(value) count, round(avg(value), 6) mean, round(quantile_cont(value, 0.95), 6) p95 from events group by event_type""",

@@ -230,3 +230,18 @@ def test_gaps_of_requests_of_very_unlike_lengths(spark):
                 at = max(at, b)
         want += [(name, at, high)] if high > at else []
     assert got == sorted(want)
+
+
+def test_window_sketches_merge_to_the_whole(spark):
+    """Merged windows stay within a percent of the rank, whatever the cut into windows."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"),
+        F.timestamp_seconds(F.col("id") * 7).alias("ts"), F.pmod(F.col("id") * 7919, F.lit(20_000)).cast("double").alias("v"),
+    ).unionByName(spark.createDataFrame([("a", None, 5.0), ("b", None, None)], "k string, ts timestamp, v double"))
+    exact = {r["k"]: r["p"] for r in audit.exact_percentile(rows.filter("ts is not null"), ["k"], "v", 0.95, "p").collect()}
+    for window in ("10 minutes", "2 days"):
+        sketches = audit.latency_sketches(rows, ["k"], "ts", "v", window)
+        got = {r["k"]: r for r in audit.merged_latency(sketches, ["k"]).collect()}
+        assert {k: r["count"] for k, r in got.items()} == {"a": 6667, "b": 13333}
+        assert all(abs(got[k]["p95"] - exact[k]) <= 200 for k in exact)
+    assert audit.merged_latency(sketches.filter("false"), ["k"]).count() == 0
