@@ -179,8 +179,12 @@ def upload_eta(size: Column, sent: Column, speed: Column) -> Column:
 
 
 def job_remaining_s(progress: Column, updated_at: Column, as_of: Column) -> Column:
-    """Seconds left by linear extrapolation from ``updated_at``; null when unknown."""
-    elapsed = (F.unix_micros(as_of) - F.unix_micros(updated_at)) / 1e6
+    """Seconds left by linear extrapolation from ``updated_at``; null when unknown.
+
+    Times are subtracted as seconds, as SQL's ``epoch`` gives them: a small progress carries the
+    last bits of the difference up into the milliseconds.
+    """
+    elapsed = F.unix_micros(as_of) / 1e6 - F.unix_micros(updated_at) / 1e6
     remaining = elapsed / (progress / 100) - elapsed
     known = (progress > 0) & (elapsed > 0)
     return F.when(known, F.when(remaining >= 0, remaining))

@@ -155,3 +155,20 @@ def test_file_listing_reads_no_content(spark, tmp_path):
     assert {(r["filename"], r["size_bytes"], r["accepted"]) for r in listed.collect()} == {("a.MP4", 10, True), ("b.txt", 1, False)}
     plan = listed._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]
+
+
+def test_eta_columns_equal_their_sql(spark, tmp_path):
+    """Jobs of tiny progress and without any, against the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    moments = [dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=7_001_003_117 * n % 2_500_000_000_000) for n in range(400)]
+    rows = [(n, ts, n, "view", round(0.01 * (n % 40), 2), "{}") for n, ts in enumerate(moments)]
+    columns = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in entry.queries()["w18_eta_columns"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute("set timezone = 'UTC'")
+    db.execute(f"create view events as select * replace (ts::timestamp as ts) from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(db.execute(entry.oracle_sql()["w18_eta_columns"]).fetchall())
+    assert {r[3] for r in got if r[1] == -1.0} == {float("inf")}
