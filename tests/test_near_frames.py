@@ -62,3 +62,36 @@ def test_empty_and_negative_distance(spark):
     assert near_frames(empty).count() == 0
     with pytest.raises(ValueError):
         near_hashes(hash_classes(empty), -1)
+
+
+def test_links_are_counted_and_not_written(spark, monkeypatch):
+    """Of 1,000 hashes over 12 bits most pairs are near; no table of them is made."""
+    from kairoscope.operators import near_frames as module
+
+    rng = np.random.default_rng(5)
+    rows = [(f"f{i:04d}", int(x)) for i, x in enumerate(rng.choice(4096, 1000, replace=False))]
+    written, stage = [], module.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "stage", counted)
+    frames = spark.createDataFrame(rows, "frame_id string, phash long")
+    got = {r[0]: tuple(r)[1:] for r in near_frames(frames, distance=5, limit=100).collect()}
+    assert got == brute(rows, 5) and sum(r[-1] for r in got.values()) > 100_000
+    assert max(written) <= len(rows)
+
+
+@pytest.mark.parametrize("limit", [4, 50, 10_000])
+def test_counts_equal_pairs_in_bands_and_blocks(spark, limit):
+    from kairoscope.operators.near_frames import near_counts
+
+    rows = [(f"f{i}", signed(h)) for i, h in enumerate(hashes("random") + hashes("dense"))]
+    classes = hash_classes(spark.createDataFrame(rows, "frame_id string, phash long")).cache()
+    want: dict = {}
+    for a, b in near_hashes(classes, 3).collect():
+        for h in (a, b):
+            want[h] = want.get(h, 0) + 1
+    assert {r["hash"]: r["near_classes"] for r in near_counts(classes, 3, limit).collect()} == want
