@@ -24,7 +24,10 @@ HIT_SCHEMA = (
     "raw_similarity double, score double, matched_component int"
 )
 CARRIED = ("frame_id", "video_id", "media_type", "timestamp")
-PAIR_BUDGET = 4_000_000
+#: Query components times frames that are scored at once; a task holds some 60 bytes for each.
+PAIR_BUDGET = 500_000
+#: As many in the coded search, which picks its candidates from each such share of the frames.
+CODE_BUDGET = 4_000_000
 #: Rows of one query that a task of the first merge should get.
 MERGE_ROWS = 100_000
 #: Queries are sent to the tasks in batches of at most so many bytes of vectors.
@@ -407,7 +410,7 @@ def _scan_codes(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, near, lookups, probed = shared.value
         local = LocalBest(block, k, 0.0, method)
-        step = max(1, PAIR_BUDGET // max(1, len(block.component)))
+        step = max(1, CODE_BUDGET // max(1, len(block.component)))
         for whole in batches:
             for low in range(0, whole.num_rows, step):
                 batch = whole.slice(low, step)

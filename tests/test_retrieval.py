@@ -284,3 +284,25 @@ def test_frames_stay_where_they_are(spark, monkeypatch):
             assert shown(temporal.frames_near(moments, frames, 8.0)) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_scoring_holds_little_at_once():
+    """600 components on 20,000 frames: what a task holds does not grow with the Arrow batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    vectors = lambda n: pa.array(list(rng.normal(size=(n, 16))), pa.list_(pa.float64()))
+    names = pa.array([f"q{n // 3}" for n in range(600)])
+    block = retrieval.QueryBlock(pa.table({"query_id": names, "component": pa.array([n % 3 for n in range(600)]), "embedding": vectors(600)}), 1.2)
+    ids = pa.array([f"f{n:05d}" for n in range(20_000)])
+    times = pa.array(np.arange(20_000.0))
+    frames = pa.RecordBatch.from_arrays([ids, ids, ids, times, vectors(20_000)], [*retrieval.CARRIED, "embedding"])
+    local = retrieval.LocalBest(block, 5, 0.0, "max")
+    tracemalloc.start()
+    local.add(frames)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert local.result().num_rows == 200 * 5
+    assert peak < 60e6
