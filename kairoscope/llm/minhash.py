@@ -52,8 +52,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 8
-#: Words handled at a time within a task.
-GROUP_WORDS = 500_000
+#: Words and rows handled at a time within a task; workers keep the memory of the largest group.
+GROUP_WORDS = 100_000
+GROUP_ROWS = 1_024
 #: Contents whose ids are broadcast at most (32 bytes each); beyond it an ordinary join is used.
 BROADCAST_ROWS = 500_000
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -144,12 +145,13 @@ def bands(hashed: np.ndarray, doc: np.ndarray, count: np.ndarray, docs: int) ->
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Groups of rows of a list column with a bounded number of words."""
+    """Groups of rows of a list column, bounded in number and in their words."""
     offsets = column.offsets.to_numpy().astype(np.int64)
     values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
     low = 0
     while low < len(column):
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + GROUP_WORDS, "right")) - 1)
+        high = min(high, low + GROUP_ROWS)
         yield low, high, values[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
 

@@ -137,3 +137,22 @@ def test_fuzzy_lines(docs):
     assert by[1, 1][0].kept and sum(r.kept for r in by[3, 0]) == 1 and by[3, 2][0].kept  # one of repeated rows
     assert by[2, 0][0].kept and by[3, 1][0].keep_key == 2 and by[3, 1][0].group_texts == 2 and not by[3, 1][1].kept
     assert line_dedup.fuzzy_lines(docs([])).collect() == []
+
+
+def test_sketches_hold_little_at_once():
+    """10,000 short texts and one long text: a worker holds the signatures of few rows and the shingles of few words."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    lengths = np.append(np.full(10_000, 40), 60_000)
+    offsets = np.append(0, np.cumsum(lengths))
+    words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rng.integers(0, 1 << 60, offsets[-1])))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(lengths))), words], ["c", "words"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in minhash._sketch(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(lengths)
+    assert peak < 40e6
