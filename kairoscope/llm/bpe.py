@@ -81,6 +81,10 @@ class Vocabulary:
             self.made[self.id_of[left + right]] = (self.id_of[left], self.id_of[right], n)
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
+    def forget_merges(self) -> None:
+        """Keep only tokens and special strings."""
+        self.rank, self.merge_rank, self.made = {}, {}, {}
+
     def segments(self, text: str) -> list[str]:
         """The text cut at special strings; odd places hold the special strings."""
         return self._split.split(text) if self._split else [text]
@@ -271,6 +275,7 @@ class RankCodec:
         if made != sorted(made):
             raise ValueError("token ids do not follow the order of the merges")
         special = self.vocabulary.special
+        self.vocabulary.forget_merges()
         self.compiled = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     @classmethod

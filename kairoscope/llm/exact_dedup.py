@@ -30,11 +30,14 @@ from pyspark.sql import functions as F
 
 from ..staging import stage
 from .names import hidden_name, hide, show
+from .workers import tidy
 
 #: Distinct content of a bucket's table. A bucket's own records come on top, a batch at a time.
 BUCKET_BYTES = 64 << 20
 #: Content a map task holds before it sends on what it has.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 16 << 20
+#: Content of a batch that a table gives.
+ROWS_BYTES = 2 << 20
 HASH_BITS = 63
 FIRST_BITS = 6
 
@@ -96,7 +99,7 @@ class OpenTable:
         low = size = 0
         for n, content in enumerate(self.content):
             size += len(content)
-            if size > 8 << 20 or n == len(self.content) - 1:
+            if size > ROWS_BYTES or n == len(self.content) - 1:
                 part = slice(low, n + 1)
                 columns = [pa.array(self.hash[part], pa.int64())]
                 if contents:
@@ -178,11 +181,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
     sizes = stage(hashed.groupBy("h").agg(F.max(F.octet_length("content")).cast("long").alias("bytes")), "sizes")
     leaf, count = leaf_buckets(sizes, bucket_bytes)
     records = hashed.select("h", "content", "key", F.lit(1).cast("long").alias("group_size")).mapInArrow(
-        _combine, "h long, content string, keep_id long, group_size long"
+        tidy(_combine), "h long, content string, keep_id long, group_size long"
     )
     buckets = records.withColumn("leaf", leaf).select("leaf", "h", "content", "keep_id", "group_size")
     dealt = buckets.repartition(count, "leaf").sortWithinPartitions("leaf")
-    groups = dealt.mapInArrow(_resolve, "h long, keep_id long, group_size long, digest binary")
+    groups = dealt.mapInArrow(tidy(_resolve), "h long, keep_id long, group_size long, digest binary")
     same_row = Window.partitionBy("_key", "_digest").orderBy(F.lit(1))
     rows = docs.select(
         *[F.col(f"`{c}`") for c in kept], F.col(f"`{key}`").cast("long").alias("_key"),

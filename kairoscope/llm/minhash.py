@@ -47,6 +47,7 @@ from pyspark.sql import types as T
 
 from ..staging import stage
 from .graph import linked
+from .workers import tidy
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -208,7 +209,7 @@ def _hashed(texts: DataFrame, *columns: str) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("c").alias("a"), F.col("elements").alias("left"))
     right = sets.select(F.col("c").alias("b"), F.col("elements").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_compare, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(tidy(_compare), "a binary, b binary")
 
 
 def _own_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -234,7 +235,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     texts = _texts(docs, key, text)
     rows = _hashed(texts, "key", "c")
     keys = T.StructField("bands", T.ArrayType(T.LongType()))
-    sketched = rows.mapInArrow(_sketch, T.StructType([*rows.schema.fields[:-1], keys]))
+    sketched = rows.mapInArrow(tidy(_sketch), T.StructType([*rows.schema.fields[:-1], keys]))
     # The written numbers tell rows apart that are equal in key and text.
     sketched = stage(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
     first = F.struct(F.col("key").isNull().alias("no_key"), "key", "row")
@@ -250,7 +251,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     wanted = F.broadcast(wanted) if nodes.count() <= BROADCAST_ROWS else wanted
     asked = _hashed(texts.join(wanted, "c").filter(F.col("key").eqNullSafe(F.col("_least"))), "c")
     elements = T.StructField("elements", T.ArrayType(T.LongType()))
-    sets = stage(asked.mapInArrow(_sets, T.StructType([asked.schema["c"], elements])), "sets")
+    sets = stage(asked.mapInArrow(tidy(_sets), T.StructType([asked.schema["c"], elements])), "sets")
 
     found = linked(shared, lambda pairs: _verified(pairs, sets), facts=lambda open_: _own_shingles(sets, open_), bound=_may_be_similar)
     classes = contents.select("c", "first", "copies").join(found.withColumnRenamed("node", "c"), "c", "left")

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import RankCodec, text_groups
+from .workers import tidy
 
 SIZE = 2048
 END_ID = 1
@@ -188,4 +189,4 @@ def pack(
         if open_ids:
             yield from flush(True)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

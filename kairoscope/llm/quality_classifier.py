@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .names import free_name
+from .workers import tidy
 
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 6 << 20
@@ -117,7 +118,9 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str) -> dict[tup
             chosen.append((row._key, row.half))
     texts: dict[tuple[int, int], list[str]] = {}
     if chosen:
-        wanted = docs.sparkSession.createDataFrame(chosen, "_key long, half int")
+        # From Arrow: rows of Python objects would start workers of a second kind on the executors.
+        keys, halves = zip(*chosen, strict=True)
+        wanted = docs.sparkSession.createDataFrame(pa.table({"_key": pa.array(keys, pa.int64()), "half": pa.array(halves, pa.int32())}))
         rows = found.join(F.broadcast(wanted), "_key").groupBy("_key", "quality", "half").agg(F.max("_text").alias("_text"))
         for row in rows.orderBy(F.xxhash64("_key"), "_key").toLocalIterator():
             texts.setdefault((row.quality, row.half), []).append(row._text)
@@ -178,5 +181,5 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", names: tuple
                 found = 1 / (1 + np.exp(-np.clip(z @ model.weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(found, pa.float64())], schema.names)
 
-    scored = source.mapInArrow(run, schema) if model else source.select(*[F.col(f"`{c}`") for c in kept]).withColumn(names[0], F.lit(1.0))
+    scored = source.mapInArrow(tidy(run), schema) if model else source.select(*[F.col(f"`{c}`") for c in kept]).withColumn(names[0], F.lit(1.0))
     return scored.withColumn(names[1], (F.col(names[0]) >= THRESHOLD).cast("int"))
