@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from kairoscope import staging
 from kairoscope.llm import graph, line_dedup, minhash
 
 
@@ -156,3 +157,31 @@ def test_sketches_hold_little_at_once():
     tracemalloc.stop()
     assert rows == len(lengths)
     assert peak < 40e6
+
+
+def test_similar_lines_are_told_by_their_edits(spark):
+    """Thinned lines and pieces settle pairs as the edit distance of the whole lines does."""
+    rng = random.Random(15)
+    letters = "aeinorsth lducmfpg"
+    rows = []
+    for n in range(400):
+        line = "".join(rng.choices(letters, k=rng.randint(1, 90)))
+        other = list(line)
+        for _ in range(rng.randint(0, len(line) // 3)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randint(0, 1)] = rng.choices(letters, k=rng.randint(0, 1))
+        rows.append((line, "".join(other) if n % 4 else "".join(rng.choices(letters, k=len(line)))))
+    table = spark.createDataFrame(rows, "x string, y string")
+    longer = F.greatest(F.length("x"), F.length("y"))
+    want = F.levenshtein("x", "y") <= F.floor(longer * (1 - line_dedup.SIMILARITY) + 1e-9)
+    got = table.select(want.alias("want"), line_dedup.similar(F.col("x"), F.col("y")).alias("got")).collect()
+    assert all(r.want == r.got for r in got) and 50 < sum(r.want for r in got) < 350
+
+
+def test_lines_are_written_once(spark, docs, tmp_path, monkeypatch):
+    """Lines without a near one are staged in one place only."""
+    monkeypatch.setattr(staging, "shared_dir", lambda spark: str(tmp_path))
+    rng = random.Random(16)
+    rows = [(n, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2000))) for n in range(300)]
+    line_dedup.fuzzy_lines(docs(rows))
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 1.2 * sum(len(text) for _, text in rows)
