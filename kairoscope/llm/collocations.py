@@ -29,15 +29,18 @@ without frequent phrases, gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
 from .bpe import text_groups
+from .workers import tidy
 
 LEAST = 100
 LONGEST = 5
@@ -48,11 +51,13 @@ FIRST_SHARE = 0.125
 BITS = 32
 SLOTS = 1 << 20
 #: Positions of the coded texts handled at a time.
-CHUNK = 1_000_000
-#: Different words a task remembers at a time.
-KNOWN_WORDS = 500_000
-#: Coded words in a row.
-ROW_WORDS = 1 << 16
+CHUNK = 1 << 18
+#: Different words a task remembers at a time, of all languages.
+KNOWN_WORDS = 200_000
+#: Coded words in a row. Spark's reader holds 4096 rows at a time, 16 MB of these.
+ROW_WORDS = 1 << 9
+#: Rows that a task sends at a time.
+SENT_ROWS = 1 << 16
 
 _BREAK = b"."
 _CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
@@ -93,6 +98,12 @@ class Ids(dict):
         return n
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of a bounded size: what receives it holds a part at a time."""
+    for start in range(0, batch.num_rows, SENT_ROWS):
+        yield batch.slice(start, SENT_ROWS)
+
+
 def _source(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
@@ -114,11 +125,12 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[byte
 def count_words(docs: DataFrame, seed: int) -> DataFrame:
     """``lang``, ``word``, ``id`` and ``f``, the word's occurrences."""
 
-    def rows(lang: str, known: Numbers, counts: np.ndarray) -> pa.RecordBatch:
-        seen = [(w, n) for w, n in zip(known, counts.tolist(), strict=True) if n and w != _BREAK]
-        ids = np.array([word_id(seed, lang, w) for w, _ in seen], np.uint64).view(np.int64)
-        words = pa.array([w for w, _ in seen], pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), words, pa.array(ids), pa.array([n for _, n in seen], pa.int64())], ["lang", "word", "id", "n"])
+    def rows(lang: str, known: Numbers, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        every = ((w, n) for w, n in zip(known, counts, strict=True) if n and w != _BREAK)
+        while seen := list(islice(every, SENT_ROWS)):
+            ids = np.array([word_id(seed, lang, w) for w, _ in seen], np.uint64).view(np.int64)
+            words = pa.array([w for w, _ in seen], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), words, pa.array(ids), pa.array([n for _, n in seen], pa.int64())], ["lang", "word", "id", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[Numbers, np.ndarray]] = {}
@@ -127,12 +139,13 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
             more = np.bincount(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), minlength=len(numbers))
             more[: len(counts)] += counts
             known[lang] = numbers, more
-            if len(numbers) > KNOWN_WORDS:
-                yield rows(lang, *known.pop(lang))
+            while sum(len(n) for n, _ in known.values()) > KNOWN_WORDS:
+                most = max(known, key=lambda x: len(known[x][0]))
+                yield from rows(most, *known.pop(most))
         for lang, (numbers, counts) in known.items():
-            yield rows(lang, numbers, counts)
+            yield from rows(lang, numbers, counts)
 
-    made = docs.mapInArrow(run, "lang string, word string, id long, n long")
+    made = docs.mapInArrow(tidy(run), "lang string, word string, id long, n long")
     return made.groupBy("lang", "word", "id").agg(F.sum("n").alias("f"))
 
 
@@ -151,15 +164,16 @@ def has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[place] >> (values & np.uint64(63))) & np.uint64(1) == 1
 
 
-def code_words(docs: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
+def code_words(docs: DataFrame, seed: int, frequent: Broadcast) -> DataFrame:
     """Rows of word ids, of whole groups of pieces; each ends with a zero."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Ids] = {}
         for lang, words in _by_lang(batches):
+            if sum(map(len, known.values())) > KNOWN_WORDS:
+                known.clear()
             if lang not in known:
-                known[lang] = Ids(seed, lang, shared.value)
+                known[lang] = Ids(seed, lang, frequent.value)
             ids = np.zeros(len(words) + 1, np.uint64)
             ids[:-1] = np.fromiter(map(known[lang].__getitem__, words), np.uint64, len(words))
             # Zeros that follow each other say no more than one: pieces are apart anyway.
@@ -169,7 +183,7 @@ def code_words(docs: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
             offsets = np.concatenate([[0], cuts[cuts < len(ids)], [len(ids)]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int64)))], ["ids"])
 
-    return docs.mapInArrow(run, "ids array<long>")
+    return docs.mapInArrow(tidy(run), "ids array<long>")
 
 
 def mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -205,11 +219,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate([*held, np.zeros(1, np.uint64)])
 
 
-#: The frontier's bitmap and that of the frequent phrases one word shorter.
-Reach = tuple[np.ndarray, np.ndarray | None]
+#: The frontier's bitmap and that of the frequent phrases one word shorter, as sent to the tasks.
+Reach = tuple[Broadcast, Broadcast | None]
+
 
+def _values(reach: Reach) -> tuple[np.ndarray, np.ndarray | None]:
+    return reach[0].value, None if reach[1] is None else reach[1].value
 
-def _reached(reach: Reach, ids: np.ndarray, at: np.ndarray, length: int, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+
+def _reached(reach: tuple[np.ndarray, np.ndarray | None], ids: np.ndarray, at: np.ndarray, length: int, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
     frontier, known = reach
     first, last = has(frontier, ids[at]), has(frontier, ids[at + length - 1])
     return first | last if known is None else (first & has(known, heads)) | (last & has(known, tails))
@@ -227,11 +245,10 @@ def _whole(ids: np.ndarray, length: int) -> np.ndarray:
 def grow(coded: DataFrame, length: int, reach: Reach, before: Reach | None) -> DataFrame:
     """Counts of the phrases of a length in reach now and not before: ``head`` and ``tail``, the
     numbers of their first and last ``length - 1`` words, ``last``, their last word, and ``a``."""
-    shared = coded.sparkSession.sparkContext.broadcast((reach, before))
     names = ["head", "last", "n"] if length == 2 else ["head", "last", "tail", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, old = shared.value
+        now, old = _values(reach), None if before is None else _values(before)
         for ids in _chunks(batches):
             at = _whole(ids, length)
             heads, tails = fold(ids, at, length - 1), fold(ids, at + 1, length - 1)
@@ -250,13 +267,13 @@ def grow(coded: DataFrame, length: int, reach: Reach, before: Reach | None) -> D
                 new[1:] |= c[1:] != c[:-1]
             starts = np.flatnonzero(new)
             n = np.diff(np.append(starts, len(order)))
-            yield pa.RecordBatch.from_arrays([*[pa.array(c[starts].view(np.int64)) for c in columns[1:]], pa.array(n.astype(np.int64))], names)
+            yield from _slices(pa.RecordBatch.from_arrays([*[pa.array(c[starts].view(np.int64)) for c in columns[1:]], pa.array(n.astype(np.int64))], names))
 
-    made = coded.mapInArrow(run, ", ".join(f"{name} long" for name in names))
+    made = coded.mapInArrow(tidy(run), ", ".join(f"{name} long" for name in names))
     counted = made.groupBy(*names[:-1]).agg(F.sum("n").alias("a")).filter(F.col("a") >= LEAST)
     if length == 2:
         counted = counted.withColumn("tail", F.col("last"))
-    return counted.select("head", "last", "tail", "a").mapInArrow(_number, "head long, last long, tail long, a long, gram long")
+    return counted.select("head", "last", "tail", "a").mapInArrow(tidy(_number), "head long, last long, tail long, a long, gram long")
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,16 +282,15 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mix(head, last).view(np.int64))], [*batch.schema.names, "gram"])
 
 
-def enclosed(coded: DataFrame, known: dict[int, np.ndarray]) -> DataFrame:
+def enclosed(coded: DataFrame, known: dict[int, Broadcast]) -> DataFrame:
     """``size`` and ``gram`` of the phrases whose occurrences all have one neighbour word on a side."""
-    shared = coded.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids in _chunks(batches):
-            for length, bits in shared.value.items():
+            for length, bits in known.items():
                 at = _whole(ids, length)
                 number = fold(ids, at, length)
-                wanted = has(bits, number)
+                wanted = has(bits.value, number)
                 at, number = at[wanted], number[wanted]
                 if not len(at):
                     continue
@@ -287,9 +303,9 @@ def enclosed(coded: DataFrame, known: dict[int, np.ndarray]) -> DataFrame:
                     low, high = np.minimum.reduceat(word, starts), np.maximum.reduceat(word, starts)
                     sides.append(np.where(low == high, low, 0).view(np.int64))
                 size = np.full(len(starts), length, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(number[starts].view(np.int64)), *map(pa.array, sides)], ["size", "gram", "left", "right"])
+                yield from _slices(pa.RecordBatch.from_arrays([pa.array(size), pa.array(number[starts].view(np.int64)), *map(pa.array, sides)], ["size", "gram", "left", "right"]))
 
-    made = coded.mapInArrow(run, "size int, gram long, left long, right long")
+    made = coded.mapInArrow(tidy(run), "size int, gram long, left long, right long")
     ends = made.groupBy("size", "gram").agg(*[f(c).alias(f"{n}_{c}") for c in ("left", "right") for f, n in ((F.min, "low"), (F.max, "high"))])
     same = lambda c: (F.col(f"low_{c}") == F.col(f"high_{c}")) & (F.col(f"low_{c}") != 0)
     return ends.filter(same("left") | same("right")).select("size", "gram")
@@ -349,13 +365,23 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", share:
         raise ValueError("frequent words share their ids for every seed")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     words = stage(counted.filter(F.col("f") >= LEAST).join(totals, "lang").select("id", "lang", "word", "f", "n"), "frequent")
-    coded = stage(code_words(source, seed, bitmap(words, "id")), "coded")
+    told = spark.sparkContext.broadcast(bitmap(words, "id"))
+    coded = stage(code_words(source, seed, told), "coded")
+    # Staged tables need no bitmap again; executors would keep each until the driver collects its garbage.
+    told.destroy()
 
     frontier = stage(_frontier(words, share), "frontier")
     levels: dict[int, DataFrame] = {}
     before: dict[int, Reach] = {}
+    sent: list[Broadcast] = []
+
+    def tell(table: DataFrame, column: str) -> Broadcast:
+        sent.append(spark.sparkContext.broadcast(bitmap(table, column)))
+        return sent[-1]
+
     while True:
-        inside, known = bitmap(frontier, "id"), {}
+        past, sent = sent, []
+        inside, known = tell(frontier, "id"), {}
         for size in range(2, LONGEST + 1):
             reach = inside, known.get(size - 1)
             fresh = grow(coded, size, reach, before.get(size))
@@ -364,7 +390,9 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", share:
             if levels[size].isEmpty():
                 del levels[size]
                 break
-            known[size] = bitmap(levels[size], "gram")
+            known[size] = tell(levels[size], "gram")
+        for bits in past:
+            bits.destroy()
         if 2 in levels:
             inner = stage(enclosed(coded, {size: bits for size, bits in known.items() if size < LONGEST}), "enclosed")
             survivors = stage(scored(levels, words).join(inner, ["size", "gram"], "left_anti"), "survivors")
@@ -381,6 +409,8 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", share:
         if more.isEmpty():
             break
         frontier = stage(frontier.unionByName(more), "frontier")
+    for bits in sent:
+        bits.destroy()
 
     tied = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     first = survivors.withColumn("place", F.rank().over(tied)).filter(F.col("place") <= top).drop("place")
